@@ -3,13 +3,25 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, line_dedup, mixing, sketch
+from quern.llm import bpe, langid, line_dedup, mixing, simhash, sketch, toxicity
 from quern.llm.work import table
 
 
+def remainder(doc_id: str, by: int) -> Column:
+    """crc32 of the doc_id as text, modulo ``by``; null for null."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % by
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out_of_fold = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    model = langid.fit(docs.where(~out_of_fold))
+    return langid.predict(docs, model).select("doc_id", out_of_fold.alias("held_out"), "lang_pred", "score")
+
+
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -18,14 +30,27 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str, tokenizer: str | None = None
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out_of_fold = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
+    machine = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~out_of_fold))
+    return toxicity.score(docs, machine).select("doc_id", out_of_fold.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.link(table(spark, sf_dir, "documents"))
+    digits = F.lower(F.hex("fp"))
+    return out.select("doc_id", F.concat(*[F.substring(digits, at, 2) for at in range(15, 0, -2)]).alias("fingerprint"), "component_id")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("clean_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_document_fingerprints, op3_bpe_codec, op5_mix_sources, op8_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_document_fingerprints, op3_bpe_codec, op4_toxicity, op5_mix_sources, op6_simhash_links, op8_line_dedup)}
 ORACLES = {"op5_mix_sources": mixing.MIX_SQL, "op8_line_dedup": line_dedup.LINES_SQL}
