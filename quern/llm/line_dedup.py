@@ -13,7 +13,7 @@ Extra columns pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.work import save
@@ -55,6 +55,11 @@ def dedup_lines(df: DataFrame) -> DataFrame:
     )
 
 
+def new_length(df: DataFrame) -> Column:
+    """n_chars in code points where lines were removed, as it was elsewhere."""
+    return F.when(F.col("__n_removed") > 0, F.length("text").cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+
+
 #: DuckDB SQL for the columns of the query.
 LINES_SQL = r"""
 WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),

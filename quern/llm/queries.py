@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, langid, line_dedup, mixing, simhash, sketch, toxicity
+from quern.llm import ann, bpe, langid, line_dedup, lm, mixing, simhash, sketch, toxicity, warc
 from quern.llm.work import table
 
 
@@ -47,10 +47,25 @@ def op6_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.concat(*[F.substring(digits, at, 2) for at in range(15, 0, -2)]).alias("fingerprint"), "component_id")
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out_of_fold = F.coalesce(remainder("doc_id", 7) == 2, F.lit(False))
+    model = lm.Trained(docs.where(~out_of_fold).select("text"), lm.input_bytes(docs))
+    return model.score(docs).withColumn("held_out", out_of_fold)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("clean_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_document_fingerprints, op3_bpe_codec, op4_toxicity, op5_mix_sources, op6_simhash_links, op8_line_dedup)}
-ORACLES = {"op5_mix_sources": mixing.MIX_SQL, "op8_line_dedup": line_dedup.LINES_SQL}
+def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_document_fingerprints, op3_bpe_codec, op4_toxicity, op5_mix_sources, op6_simhash_links, op7_lm_scores, op8_line_dedup, op9_nearest_vectors, op10_warc_round_trip)}
+ORACLES = {"op5_mix_sources": mixing.MIX_SQL, "op8_line_dedup": line_dedup.LINES_SQL, "op10_warc_round_trip": warc.WARC_SQL}
