@@ -31,7 +31,8 @@ def targets(per_source: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: i
     """source, source_size → weight and target: shares by weight, held at ``most`` times the source's size, the excess reshared.
 
     The fixed point is a water level L with target = min(most * size, L * weight). Sources sorted by
-    most * size / weight are held one after another until the level that the rest share is met.
+    most * size / weight are held one after another. Holding a source below the level of the rest
+    raises that level, holding one above it lowers it, so the level is the largest met on the way.
     """
     by_name = W.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")).cast("long")
@@ -44,8 +45,7 @@ def targets(per_source: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: i
         .withColumn("rest_weight", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
         .withColumn("level_here", F.col("rest") / F.col("rest_weight"))
     )
-    free = F.col("cap") >= F.col("level_here") * F.col("weight")
-    s = s.withColumn("level", F.min(F.when(free, F.col("level_here"))).over(everything))
+    s = s.withColumn("level", F.max("level_here").over(everything))
     return s.select("source", "source_size", "weight", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
@@ -90,7 +90,7 @@ w AS (SELECT *, 3 * source_size AS cap,
 r AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0) AS DOUBLE)
         / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS DOUBLE) AS here
       FROM w WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-l AS (SELECT min(here) AS level FROM r WHERE cap >= here * weight),
+l AS (SELECT max(here) AS level FROM r),
 g AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), level * weight) AS target FROM r, l),
 b AS (SELECT *, least(CAST(floor(target + 0.5) AS BIGINT), 3 * source_size) AS budget FROM g),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM b),
