@@ -14,7 +14,7 @@ DEFAULT_YEAR = 2010
 
 def clean_list(c: Column, sep: str) -> Column:
     """Split at ``sep``, trim, drop empty parts; null gives an empty list."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), sep), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), sep), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def semicolon_list(c: Column) -> Column:
@@ -51,8 +51,7 @@ def optical_yield(c: Column, strict: bool = True) -> Column:
     pct = lambda what: F.regexp_extract(s, rf"([0-9]+\.?[0-9]*)\s*(?:%|percent)\s*{what}", 1).try_cast("double")
     ratio = r"([0-9]+\.?[0-9]*)\s*:\s*([0-9]+\.?[0-9]*)"
     named = rf"dr\s*[:=]?\s*>?\s*{ratio}"
-    pattern = F.when(s.rlike(named), F.lit(named)).otherwise(F.lit(ratio))
-    a, b = (F.regexp_extract(s, pattern, i).try_cast("double") for i in (1, 2))
+    a, b = (F.when(s.rlike(named), F.regexp_extract(s, named, i)).otherwise(F.regexp_extract(s, ratio, i)).try_cast("double") for i in (1, 2))
     anti = s.contains("anti") if strict else s.rlike(r"\banti\b")
     evans = s.rlike(r"evans[ -]?syn") if strict else s.rlike(r"(?<!non-)(?<!non )\bevans[ -]?syn")
     ee, de = pct("e\\.?e"), pct("d\\.?e")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import cleaning
+from quern.plans import cleaning, evaluation, learning, parsing, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (cleaning,):
-    QUERIES |= _module.QUERIES
-    ORACLES |= _module.ORACLES
+for _module in (cleaning, parsing, evaluation, vectors, learning):
+    QUERIES |= _module.REGISTRY.queries
+    ORACLES |= _module.REGISTRY.oracles

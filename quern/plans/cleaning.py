@@ -5,21 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions import parse
 from quern.operators import audit
-from quern.plans.common import table
+from quern.operators import relational as R
+from quern.plans.common import Registry, table
+from quern.sources import tables
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str):
-    """Registers a query with its DuckDB SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = sql
-        return f
-
-    return add
+REGISTRY = Registry()
+query = REGISTRY.add
 
 
 def order_rules() -> list[audit.Rule]:
@@ -61,3 +54,108 @@ def clean_audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(RULES_SQL + "SELECT s.step, a.o_orderkey AS row_id, s.reason FROM a JOIN s ON a.n = s.step_no")
 def clean_row_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.row_audit(audit.with_reasons(table(spark, sf_dir, "orders"), order_rules()), "o_orderkey")
+
+
+@query(r"""SELECT doc_id, CASE WHEN k THEN 'keyword' ELSE 'structure' END AS how FROM (SELECT doc_id, text,
+  (lower(coalesce(text, '')) LIKE '%licensed under%' OR lower(coalesce(text, '')) LIKE '%all rights reserved%' OR lower(coalesce(source, '')) LIKE '%src1') AS k FROM documents)
+  WHERE k OR regexp_matches(coalesce(text, ''), '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}')""")
+def two_pass_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords in either of two columns, or, for rows without one only, a structural test."""
+    text = F.lower(F.coalesce("text", F.lit("")))
+    keyword = text.contains("licensed under") | text.contains("all rights reserved") | F.lower(F.coalesce("source", F.lit(""))).endswith("src1")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", keyword.alias("k"))
+    structure = F.coalesce("text", F.lit("")).rlike(r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}")
+    return d.select("doc_id", F.when(F.col("k"), "keyword").when(structure, "structure").alias("how")).where("how IS NOT NULL")
+
+
+BLACKLIST = ["idiot", "scum", "token =", "licensed under", "$$$"]
+
+
+@query("""SELECT doc_id FROM documents WHERE NOT (""" + " OR ".join(f"contains(lower(concat_ws(' ', text, source)), '{w}')" for w in BLACKLIST) + ")")
+def blacklist_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where(~parse.contains_any(F.concat_ws(" ", "text", "source"), BLACKLIST)).select("doc_id")
+
+
+@query("SELECT o_custkey AS custkey, o_orderstatus AS status, min(o_orderkey) AS first_key FROM orders GROUP BY ALL")
+def membership_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keep-first over (customer, status), kept rows named by a semi join."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("first_key"))
+    kept = o.groupBy("custkey", "status").agg(F.min("first_key").alias("first_key"))
+    return o.join(kept, ["custkey", "status", "first_key"], "left_semi").distinct()
+
+
+@query("""SELECT user_id, event_type, CAST(epoch_ms(date_trunc('day', ts)) AS BIGINT) AS day, min(event_id) AS event_id, CAST(min_by(value, event_id) AS DOUBLE) AS value FROM events GROUP BY ALL""")
+def dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", F.unix_millis(F.date_trunc("day", "ts")).alias("day"), "event_id", "value")
+    return R.keep_first(e, ["user_id", "event_type", "day"], "event_id")
+
+
+@query("""WITH k AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) || '||' || CAST(l_suppkey AS VARCHAR) AS key FROM lineitem)
+SELECT key, CAST(dense_rank() OVER (ORDER BY key) - 1 AS BIGINT) AS group_id FROM k""")
+def substrate_group_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = parse.composite_key(F.col("l_partkey"), F.col("l_suppkey"))
+    return R.group_ids(table(spark, sf_dir, "lineitem").select(key.alias("key")), "key")
+
+
+@query("""WITH c AS (SELECT l_partkey, l_suppkey, min(l_returnflag) AS lo, max(l_returnflag) AS hi FROM lineitem GROUP BY ALL),
+k AS (SELECT l_partkey, min(lo) AS klo, max(hi) AS khi FROM c GROUP BY ALL)
+SELECT l_partkey, l_suppkey, CASE WHEN lo <> hi THEN 'A' WHEN klo <> khi THEN 'B' ELSE 'none' END AS kind FROM c JOIN k USING (l_partkey)""")
+def contradiction_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.contradictions(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey", "l_returnflag")
+
+
+CUTOFFS = [(1996, 1997, 1998), (1997, 1998, 1999), (1998, 1999, 2000), (1999, 2000, 2001)]
+
+
+@query("""WITH c(split_name, a, b, c, e) AS (VALUES ('tscv_fold1', 1996, 1997, 1998, 1997), ('tscv_fold2', 1997, 1998, 1999, 1998), ('tscv_fold3', 1998, 1999, 2000, 1999), ('tscv_fold4', 1999, 2000, 2001, 9999)),
+y AS (SELECT o_orderkey AS row_id, year(o_orderdate) AS y FROM orders),
+r AS (SELECT split_name, row_id, CASE WHEN y <= a THEN 'train' WHEN y <= b THEN 'val' WHEN y >= c AND y <= e THEN 'test' END AS role FROM y, c)
+SELECT split_name, row_id, role FROM r WHERE role IS NOT NULL AND split_name IN (SELECT split_name FROM r WHERE role IS NOT NULL GROUP BY 1 HAVING count(DISTINCT role) = 3)""")
+def temporal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.temporal_split(table(spark, sf_dir, "orders"), "o_orderkey", F.year("o_orderdate"), CUTOFFS)
+
+
+GROUP_SQL = """WITH s AS (SELECT seed, o_orderkey AS row_id, o_custkey AS g,
+  CAST(('0x' || substr(md5(CAST(seed AS VARCHAR) || '|' || CAST(o_custkey AS VARCHAR)), 1, 8))::BIGINT AS DOUBLE) / 4294967296.0 AS p FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS seed)),
+r AS (SELECT 'grouped_seed' || seed AS split_name, row_id, g, CASE WHEN p < 0.2 THEN 'test' WHEN p < 0.2 + 0.8 * 0.15 THEN 'val' ELSE 'train' END AS role FROM s)
+"""
+
+
+def _group_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    out = R.group_split(o, "o_orderkey", "o_custkey", 1)
+    for seed in range(2, 6):
+        out = out.unionByName(R.group_split(o, "o_orderkey", "o_custkey", seed))
+    return out
+
+
+@query(GROUP_SQL + "SELECT split_name, row_id, role FROM r")
+def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _group_splits(spark, sf_dir).select("split_name", "row_id", "role")
+
+
+@query(GROUP_SQL + """, a AS (SELECT split_name, row_id, count(DISTINCT role) AS n FROM r GROUP BY ALL),
+g AS (SELECT split_name, g, max(CAST(role = 'train' AS INT)) * max(CAST(role = 'test' AS INT)) AS shared FROM r GROUP BY ALL)
+SELECT split_name, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(CAST(n > 1 AS INT)) AS BIGINT) AS overlapping,
+  (SELECT CAST(sum(shared) AS BIGINT) FROM g WHERE g.split_name = a.split_name) AS shared_groups FROM a GROUP BY split_name""")
+def split_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.split_report(_group_splits(spark, sf_dir))
+
+
+@query("""WITH q AS (SELECT quantile_cont(o_orderkey, 0.25) AS a, quantile_cont(o_orderkey, 0.5) AS b, quantile_cont(o_orderkey, 0.75) AS c FROM orders),
+p AS (SELECT o_orderkey AS row_id, CAST(a < o_orderkey AS INT) + CAST(b < o_orderkey AS INT) + CAST(c < o_orderkey AS INT) AS part FROM orders, q)
+SELECT 'fold' || f AS split_name, row_id, CASE WHEN part = f THEN 'test' ELSE 'train' END AS role FROM p, (SELECT unnest([1, 2, 3]) AS f) WHERE part <= f""")
+def sequential_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.sequential_folds(table(spark, sf_dir, "orders"), "o_orderkey", 3)
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def incremental_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a cache of labelled ids leaves to compute."""
+    return tables.missing_keys(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("""SELECT doc_id, quality, toxic FROM labels WHERE toxic = 0 UNION ALL SELECT doc_id, 9 AS quality, toxic FROM labels WHERE toxic = 1""")
+def upsert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = table(spark, sf_dir, "labels")
+    return tables.upsert(old, old.where("toxic = 1").withColumn("quality", F.lit(9)), ["doc_id"])

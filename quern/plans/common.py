@@ -1,4 +1,4 @@
-"""Table access shared by the query families."""
+"""Table access and registration shared by the query families."""
 
 from __future__ import annotations
 
@@ -7,3 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class Registry:
+    """Queries by name, and the DuckDB SQL of those that have one."""
+
+    def __init__(self):
+        self.queries, self.oracles = {}, {}
+
+    def add(self, sql: str | None = None):
+        def take(f):
+            self.queries[f.__name__] = f
+            if sql is not None:
+                self.oracles[f.__name__] = sql
+            return f
+
+        return take
