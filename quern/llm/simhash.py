@@ -100,19 +100,19 @@ def _bits(fps: list[bytes]) -> np.ndarray:
     return np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
 
 
-def key_rows(fps: DataFrame, keys: list[np.ndarray]) -> DataFrame:
-    """(key, fp): a row for each key of each fingerprint; the key's number is in the key's high bits."""
+def key_rows(classes: DataFrame, keys: list[np.ndarray]) -> DataFrame:
+    """(key, id): a row for each key of each fingerprint (id, fp); the key's number is in the key's high bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = b.column(0)
-            for at in range(0, len(values), 4096):
-                some = values.slice(at, 4096)
-                bits = _bits(some.to_pylist())
-                out = [(bits[:, k].astype(np.int64) @ (1 << np.arange(len(k), dtype=np.int64))) | (i << 48) for i, k in enumerate(keys)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.concat_arrays([some] * len(keys))], names=["key", "fp"])
+            for at in range(0, len(b), 4096):
+                ids, fps = b.column(0).slice(at, 4096), b.column(1).slice(at, 4096)
+                bits = _bits(fps.to_pylist())
+                for i, k in enumerate(keys):
+                    value = (bits[:, k].astype(np.int64) @ (1 << np.arange(len(k), dtype=np.int64))) | (i << 48)
+                    yield pa.RecordBatch.from_arrays([pa.array(value), ids], names=["key", "id"])
 
-    return fps.select("fp").mapInArrow(run, "key bigint, fp binary")
+    return classes.select("id", "fp").mapInArrow(run, "key bigint, id bigint")
 
 
 def forest(left: np.ndarray, right: np.ndarray | None, most: int) -> list[tuple[int, int]]:
@@ -139,55 +139,59 @@ def forest(left: np.ndarray, right: np.ndarray | None, most: int) -> list[tuple[
     return out
 
 
-def close_edges(rows: DataFrame, most: int, chunk: int = CHUNK) -> DataFrame:
-    """Of (key, fp) with distinct fp in a key, edges (a, b) that connect each key's close fingerprints."""
-    rows = save(rows, "keys")
+def close_edges(classes: DataFrame, keys: list[np.ndarray], most: int, chunk: int = CHUNK) -> DataFrame:
+    """Of distinct fingerprints (id, fp), edges (a, b) of ids that connect each key's close fingerprints.
+
+    Keys travel with the 8-byte id; only those that several fingerprints have are joined with the fingerprints.
+    """
+    rows = save(key_rows(classes, keys), "keys")
     counts = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / chunk).cast("int")
-    r = rows.join(counts, "key").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    r = r.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    r = r.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
-
-    def compare(group: list[tuple[int, bytes]], i: int, j: int) -> list[tuple[bytes, bytes]]:
-        if len(group) < 2:
+    r = rows.join(counts, "key").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    r = r.join(classes.select("id", "fp"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    r = r.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "fp")
+
+    def compare(group: list[tuple[int, int, bytes]], i: int, j: int) -> list[tuple[int, int]]:
+        members = [[(n, f) for o, n, f in group if o == s] for s in ([i] if i == j else [i, j])]
+        sides = [np.frombuffer(b"".join(f for _, f in m), np.uint64).reshape(len(m), -1) for m in members if m]
+        names = [n for m in members for n, _ in m]
+        if len(names) < 2 or len(sides) < len(members):
             return []
-        sides = [np.frombuffer(b"".join(f for o, f in group if o == s), np.uint64).reshape(-1, len(group[0][1]) // 8) for s in ([i] if i == j else [i, j])]
-        names = [f for s in ([i] if i == j else [i, j]) for o, f in group if o == s]
         return [(names[a], names[b]) for a, b in forest(sides[0], sides[1] if i != j else None, most)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, group = None, []
         for b in batches:
             out = []
-            for key, i, j, own, fp in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for key, i, j, own, n, fp in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if (key, i, j) != at:
                     if len(group) > 1:
                         out += compare(group, *at[1:])
                     at, group = (key, i, j), []
-                group.append((own, fp))
+                group.append((own, n, fp))
             if out:
                 yield _edges(out)
         if len(group) > 1 and (out := compare(group, *at[1:])):
             yield _edges(out)
 
     by = ("key", "i", "j")
-    return r.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a binary, b binary")
+    return r.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a bigint, b bigint")
 
 
-def _edges(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     a, b = zip(*pairs, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def groups(prints: DataFrame, keys: list[np.ndarray], most: int) -> DataFrame:
     """(doc_id, fp) → (doc_id, fp, component_id)."""
     prints = save(prints, "fingerprints")
-    classes = save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(close_edges(key_rows(classes, keys), most))
+    classes = save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()), "classes")
+    roots = components(close_edges(classes, keys, most))
     if roots is None:
         named = classes.select("fp", F.col("least").alias("component_id"))
     else:
-        c = save(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+        c = save(classes.join(roots, classes["id"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "id").alias("root")), "roots")
         named = c.join(c.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
@@ -197,7 +201,7 @@ def link(df: DataFrame, words: int = 3, most: int = 3, blocks: int = 5) -> DataF
     return groups(fingerprints(df, words), pigeonhole_keys(blocks, most), most)
 
 
-def near_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 4, key_bits: int = 20, keys: int = 64) -> DataFrame:
+def near_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 4, key_bits: int = 24, keys: int = 128) -> DataFrame:
     """doc_id, fp, component_id at a resemblance of shingle sets of ``similarity`` or more, as 256 fingerprint bits tell it.
 
     Sets of equal size with Jaccard similarity J are at cosine 2J / (1 + J), and each bit differs with
