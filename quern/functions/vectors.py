@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = F.lit(0.0)
 
 
 def total(c: Column) -> Column:
@@ -39,7 +38,7 @@ def dihedral(p0: Column, p1: Column, p2: Column, p3: Column) -> Column:
     n1, n2 = cross(b0, b1), cross(b1, b2)
     length = F.sqrt(dot(b1, b1))
     y, x = dot(b0, n2) * length, dot(n1, n2)
-    return F.when((dot(n1, n1) == 0) | (dot(n2, n2) == 0), ZERO).otherwise(F.atan2(y, x))
+    return F.when((dot(n1, n1) == 0) | (dot(n2, n2) == 0), F.lit(0.0)).otherwise(F.atan2(y, x))
 
 
 def radial_basis(d: Column, start: float, stop: float, n: int) -> Column:
@@ -55,7 +54,7 @@ def sign_product(c: Column) -> Column:
 
 def blend(a: Column, b: Column, wa: Column, wb: Column) -> Column:
     """Weighted sum; null counts as 0."""
-    return wa * F.coalesce(a, ZERO) + wb * F.coalesce(b, ZERO)
+    return wa * F.coalesce(a, F.lit(0.0)) + wb * F.coalesce(b, F.lit(0.0))
 
 
 def grid_stats(grid: Column) -> Column:
