@@ -224,9 +224,10 @@ def salvage(source: Source) -> Iterator[tuple]:
                 except Damaged:
                     end += 1
             yield "gap", at, end, str(e)
+            at = end
             if found is None:
                 continue
-            at, (records, end) = end, found
+            records, end = found
         for headers, payload in records:
             yield "record", at, end, headers, payload
         at = end
