@@ -4,8 +4,9 @@ Vectors are scaled to unit length, so that the largest cosine is the smallest di
 vectors is indexed by ``PROJECTIONS`` random directions, each a sorted array of projections. A query opens
 a window around its own projection in each array; a vector found in at least ``SHARE`` of the windows
 has collided often enough and is verified with its exact cosine. Virtual rehashing widens the windows
-by ``STEP`` until the k-th best verified vector lies within the windows' radius; only what the wider
-windows add is counted. Every vector is indexed.
+by ``STEP`` until the k-th best verified vector lies within the windows' radius. A window is a run of
+places in a sorted array, and a vector collides if its place there is in the run, so that one pass over
+the block's places counts a query's collisions. Every vector is indexed.
 
 Queries go out in chunks of ``QUERY_CHUNK``, which bounds each broadcast, against all blocks of vectors;
 blocks are at most ``BLOCK`` vectors, which bounds a task's memory. Each block gives its k best; a
@@ -28,6 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PROJECTIONS, SHARE, FIRST, STEP = 64, 0.55, 0.7, 1.12
+#: BLOCK: at most 65 535, as places have 16 bits.
 BLOCK, QUERY_CHUNK = 8192, 20_000
 
 
@@ -37,43 +39,50 @@ def usable(v: str) -> Column:
 
 
 class Index:
-    """Sorted projections of a block of unit vectors."""
+    """Sorted projections of a block of unit vectors; ``rank``: each vector's place in each of them."""
 
     def __init__(self, unit: np.ndarray):
         self.unit = unit
         self.directions = np.random.default_rng(11).normal(size=(unit.shape[1], PROJECTIONS))
-        p = unit @ self.directions
-        self.order = np.argsort(p, axis=0, kind="stable").T.astype(np.int32).copy()
-        self.sorted = np.take_along_axis(p.T, self.order, axis=1)
-
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Of each unit query the verified (vectors, cosines); ``own``: bool (q, n) or None, vectors that are no candidates."""
+        p = (unit @ self.directions).T
+        order = np.argsort(p, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(p, order, axis=1)
+        self.rank = np.empty(p.shape, np.uint16)
+        np.put_along_axis(self.rank, order, np.arange(len(unit), dtype=np.uint16)[None, :], axis=1)
+
+    def windows(self, at: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """Of queries at (q, projections) each window's first place and its number of places."""
+        lo, hi = np.empty(at.shape, np.uint16), np.empty(at.shape, np.uint16)
+        for j, s in enumerate(self.sorted):
+            lo[:, j], hi[:, j] = np.searchsorted(s, at[:, j] - radius), np.searchsorted(s, at[:, j] + radius, "right")
+        return lo, hi - lo
+
+    def search(self, queries: np.ndarray, own: list[np.ndarray], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each unit query the verified (vectors, cosines); ``own``: of each query the vectors that are no candidates."""
         n, need = len(self.unit), int(np.ceil(SHARE * PROJECTIONS))
         at = queries @ self.directions
-        out = []
-        for q in range(len(queries)):
-            radius, counts = FIRST, np.zeros(n, np.int16)
-            barred = own[q]
-            found, cosines = np.empty(0, np.int64), np.empty(0)
-            tested = np.zeros(n, bool)
-            tested[barred] = True
-            wanted = min(k, n - len(barred))
-            lo = hi = np.array([np.searchsorted(s, x) for s, x in zip(self.sorted, at[q], strict=True)])
-            while wanted > 0:
-                new_lo = np.array([np.searchsorted(s, x - radius) for s, x in zip(self.sorted, at[q], strict=True)])
-                new_hi = np.array([np.searchsorted(s, x + radius, "right") for s, x in zip(self.sorted, at[q], strict=True)])
-                for j in range(PROJECTIONS):
-                    order = self.order[j]
-                    counts[order[new_lo[j] : lo[j]]] += 1
-                    counts[order[hi[j] : new_hi[j]]] += 1
-                lo, hi = new_lo, new_hi
-                fresh = np.flatnonzero((counts >= need) & ~tested)
-                tested[fresh] = True
-                found, cosines = np.r_[found, fresh], np.r_[cosines, self.unit[fresh] @ queries[q]]
-                if len(found) >= wanted and np.partition(cosines, -wanted)[-wanted] >= 1 - radius**2 / 2 or radius > 4 * np.sqrt(self.unit.shape[1]) or tested.all():
-                    break
-                radius *= STEP
-            out.append((found, cosines))
+        tested = np.zeros((len(queries), n), bool)
+        for t, barred in zip(tested, own, strict=True):
+            t[barred] = True
+        out = [(np.empty(0, np.int64), np.empty(0)) for _ in queries]
+        open_ = np.array([q for q, barred in enumerate(own) if len(barred) < n], np.int64)
+        offset, inside = np.empty(self.rank.shape, np.uint16), np.empty(self.rank.shape, bool)
+        radius = FIRST
+        while len(open_):
+            still = []
+            for q, lo, width in zip(open_.tolist(), *self.windows(at[open_], radius), strict=True):
+                # a place is in the window if it lies fewer places past its first; places before that wrap around
+                np.less(np.subtract(self.rank, lo[:, None], out=offset), width[:, None], out=inside)
+                hits = np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8)
+                fresh = np.flatnonzero((hits >= need) & ~tested[q])
+                tested[q, fresh] = True
+                found, cosines = out[q]
+                out[q] = found, cosines = np.r_[found, fresh], np.r_[cosines, self.unit[fresh] @ queries[q]]
+                wanted = min(k, n - len(own[q]))
+                if not (len(found) >= wanted and np.partition(cosines, -wanted)[-wanted] >= 1 - radius**2 / 2 or radius > 4 * np.sqrt(self.unit.shape[1]) or len(found) + len(own[q]) == n):
+                    still.append(q)
+            open_ = np.array(still, np.int64)
+            radius *= STEP
         return out
 
 
@@ -116,7 +125,12 @@ def _search_chunk(spark, rows: DataFrame, ids: np.ndarray, queries: list[np.ndar
         left, right = np.searchsorted(block_ids, qid, sorter=order), np.searchsorted(block_ids, qid, "right", sorter=order)
         own = [order[a:b] for a, b in zip(left, right, strict=True)]
         cols: list[list] = [[], [], [], []]
-        for i, (found, _) in enumerate(index.search(q / qnorm[:, None], own, k)):
+        # so many queries at a time keep what they have tested below 64 MB
+        step, unit = max(1, (64 << 20) // max(1, len(x))), q / qnorm[:, None]
+        results = (r for at in range(0, len(q), step) for r in index.search(unit[at : at + step], own[at : at + step], k))
+        for i, (found, cosines) in enumerate(results):
+            if len(found) > k:  # rounding aside, none below the k-th can be among the best
+                found = found[cosines >= np.partition(cosines, -k)[-k] - 1e-9]
             exact = (x[found] @ q[i]) / (norm[found] * qnorm[i])
             best = np.lexsort((block_ids[found], -exact))[:k]
             for col, y in zip(cols, ([int(qid[i])] * len(best), [int(number[i])] * len(best), block_ids[found[best]].tolist(), exact[best].tolist()), strict=True):
