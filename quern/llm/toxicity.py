@@ -30,6 +30,8 @@ from quern.llm.work import save
 BUCKETS, SAMPLE, FEATURES, LEAST_G, LEAST_DOCS = 1 << 20, 20_000, 4096, 24.0, 4
 RANK, ROUNDS, RATE, DECAY = 8, 300, 0.1, 1e-4
 THRESHOLD = 0.7
+#: Texts whose terms are in memory at once; changes no result.
+TOGETHER = 256
 WORDS = regex.compile(r"[\p{L}\p{N}]+")
 
 
@@ -75,7 +77,12 @@ class Machine:
             out += 0.5 * (np.bincount(row, x, rows) ** 2 - np.bincount(row, x * x, rows))
         return out
 
-    def score(self, texts: list[str | None], terms: Terms) -> np.ndarray:
+    def score(self, column: pa.Array, terms: Terms) -> np.ndarray:
+        """Of each text of ``column``; terms are held for ``TOGETHER`` texts at a time."""
+        parts = [self._score(column.slice(at, TOGETHER).to_pylist(), terms) for at in range(0, len(column), TOGETHER)]
+        return np.concatenate(parts) if parts else np.empty(0)
+
+    def _score(self, texts: list[str | None], terms: Terms) -> np.ndarray:
         sets = [terms.of(t) for t in texts]
         row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         feature = np.fromiter((x for s in sets for x in sorted(s)), np.int64, len(row))
@@ -121,8 +128,8 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int =
         terms = Terms()
         seen: dict[int, list[int]] = {}
         for b in batches:
-            for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for x in terms.of(text):
+            for toxic, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                for x in terms.of(text.as_py()):
                     seen.setdefault(x, [0, 0])[toxic > 0] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array([c[0] for c in seen.values()], pa.int64()), pa.array([c[1] for c in seen.values()], pa.int64())], names=["bucket", "clean", "toxic"])
 
@@ -145,7 +152,7 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int =
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(number)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(terms.of(t)) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["toxic", "features"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(terms.of(t.as_py())) for t in b.column(1)], pa.list_(pa.int32()))], names=["toxic", "features"])
 
     # bounded as the sample is; sorted, so that sums and so the fit don't depend on the order of tasks
     got = sorted((tuple(r["features"]), int(r["toxic"] > 0)) for r in rows.mapInArrow(reduce, "toxic int, features array<int>").collect())
@@ -162,7 +169,7 @@ def score(df: DataFrame, machine: Machine | None) -> DataFrame:
         m = shared.value
         terms = Terms(m.number) if m else None
         for b in batches:
-            s = m.score(b.column(1).to_pylist(), terms) if m else np.zeros(len(b))
+            s = m.score(b.column(1), terms) if m else np.zeros(len(b))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], names=["doc_id", "score"])
 
     return df.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double")
@@ -178,6 +185,6 @@ def keep_clean(df: DataFrame, machine: Machine | None, threshold: float = THRESH
         m = shared.value
         terms = Terms(m.number) if m else None
         for b in batches:
-            yield b.filter(pa.array(m.score(b.column(at).to_pylist(), terms) < threshold)) if m else b
+            yield b.filter(pa.array(m.score(b.column(at), terms) < threshold)) if m else b
 
     return df.mapInArrow(run, df.schema)
