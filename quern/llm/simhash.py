@@ -4,9 +4,10 @@ A fingerprint's bit is 1 if more than half of the shingle hashes have it. Finger
 text and reduced to the distinct ones, so exact copies cost nothing further. Each fingerprint is cut
 into blocks; a key is the value of some of the blocks together, and close pairs share a key. A key's
 fingerprints are compared in one numpy pass that returns a spanning forest of the close pairs, never
-the pairs. A key with more than ``CHUNK`` distinct fingerprints is dealt into chunks by hash and
-compared chunk against chunk, so that no task holds a hot key. Components of the forests' edges are
-the groups.
+the pairs. A key of two or three fingerprints names its members by its aggregates alone, and their at
+most three pairs are checked once, however many keys share them. A key with more than ``CHUNK``
+distinct fingerprints is dealt into chunks by hash and compared chunk against chunk, so that no task
+holds a hot key. Components of the forests' edges are the groups.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero, linked like any
 other; fewer words than a shingle form one shingle; rows with equal texts share a group; a group is
@@ -30,6 +31,8 @@ from quern.llm.work import save
 SEED = 42
 #: Distinct fingerprints of a key that are compared together.
 CHUNK = 2048
+#: Keys of so many distinct fingerprints or fewer are checked pair by pair.
+FEW = 3
 BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
 
@@ -142,12 +145,14 @@ def forest(left: np.ndarray, right: np.ndarray | None, most: int) -> list[tuple[
 def close_edges(classes: DataFrame, keys: list[np.ndarray], most: int, chunk: int = CHUNK) -> DataFrame:
     """Of distinct fingerprints (id, fp), edges (a, b) of ids that connect each key's close fingerprints.
 
-    Keys travel with the 8-byte id; only those that several fingerprints have are joined with the fingerprints.
+    Keys travel with the 8-byte id; only those that more than ``FEW`` fingerprints have are joined with the fingerprints.
     """
     rows = save(key_rows(classes, keys), "keys")
-    counts = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = (F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor("id").alias("x"))
+    shared = save(rows.groupBy("key").agg(F.count("*").alias("n"), *members).where("n > 1"), "shared")
+    few = _checked(_few_pairs(shared.where(F.col("n") <= FEW)), classes, most)
     parts = F.ceil(F.col("n") / chunk).cast("int")
-    r = rows.join(counts, "key").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    r = rows.join(shared.where(F.col("n") > FEW).select("key", "n"), "key").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     r = r.join(classes.select("id", "fp"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     r = r.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "fp")
 
@@ -175,7 +180,32 @@ def close_edges(classes: DataFrame, keys: list[np.ndarray], most: int, chunk: in
             yield _edges(out)
 
     by = ("key", "i", "j")
-    return r.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a bigint, b bigint")
+    return few.union(r.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a bigint, b bigint"))
+
+
+def _few_pairs(shared: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of the members of keys of two or three ids, from each key's least, greatest and xor of ids."""
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    lo, hi = F.col("lo"), F.col("hi")
+    mid = F.col("x").bitwiseXOR(lo).bitwiseXOR(hi)
+    pairs = F.when(F.col("n") == 2, F.array(pair(lo, hi))).otherwise(F.array(pair(lo, mid), pair(lo, hi), pair(mid, hi)))
+    return shared.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+
+
+def _checked(pairs: DataFrame, classes: DataFrame, most: int) -> DataFrame:
+    """The pairs (a, b) of ids whose fingerprints differ in ``most`` bits or fewer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            left, right = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(len(b), -1) for c in b.columns[2:])
+            near = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64) <= most
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(near)) for c in b.columns[:2]], names=["a", "b"])
+
+    for side in "ab":
+        pairs = pairs.join(classes.select(F.col("id").alias(side), F.col("fp").alias("fp_" + side)), side)
+    return pairs.select("a", "b", "fp_a", "fp_b").mapInArrow(run, "a bigint, b bigint")
 
 
 def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:

@@ -150,6 +150,33 @@ def test_simhash_components(spark):
     assert simhash.keep_one(df).count() < len(texts)
 
 
+def test_close_edges_connect_keys_of_every_size(spark):
+    rng = np.random.default_rng(9)
+    fps = []
+    for size in (2, 3, 4, 5, 9, 40):
+        centre = rng.integers(0, 2, 64)
+        for _ in range(size):
+            bits = centre.copy()
+            bits[rng.choice(64, 2, replace=False)] ^= 1
+            fps.append(np.packbits(bits.astype(np.uint8), bitorder="little").tobytes())
+    fps = sorted(set(fps))
+    v = np.array([int.from_bytes(f, "little") for f in fps], np.uint64)
+    close = {(i, j) for i in range(len(v)) for j in range(i) if np.bitwise_count(v[i] ^ v[j]) <= 3}
+
+    def sets(edges):
+        name = list(range(len(fps)))
+        for _ in fps:
+            for a, b in edges:
+                name[a] = name[b] = min(name[a], name[b])
+        return name
+
+    classes = spark.createDataFrame([(i, bytearray(f)) for i, f in enumerate(fps)], "id long, fp binary")
+    for chunk in (2048, 4):
+        edges = {(r["a"], r["b"]) for r in simhash.close_edges(classes, simhash.pigeonhole_keys(5, 3), 3, chunk).collect()}
+        assert all((max(e), min(e)) in close for e in edges)
+        assert sets(edges) == sets(close)
+
+
 def test_lm_base_is_exact(spark):
     rng = random.Random(6)
     texts = [" ".join(f"W{int(rng.expovariate(0.02))}" for _ in range(rng.randint(0, 200))) for _ in range(60)] + [None, ""]
