@@ -11,9 +11,10 @@ import pyarrow as pa
 import pyarrow.fs
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import ann, bpe, langid, line_dedup, lm, mixing, queries, simhash, sketch, toxicity, warc
+from quern.llm import ann, bpe, components, langid, line_dedup, lm, mixing, queries, simhash, sketch, toxicity, warc
 from tests.conftest import DATA, assert_same
 
 TOKENIZER = __import__("public_tokenizers").path("byte_bpe_50k.json")
@@ -150,6 +151,18 @@ def test_simhash_components(spark):
     assert simhash.keep_one(df).count() < len(texts)
 
 
+def test_components_of_paths_stars_and_extreme_ids(spark):
+    ids = [0, -1, 1, 2**63 - 1, -(2**63), 2**33, 2**33 + 1, 5 << 33]
+    df = spark.createDataFrame([(i,) for i in ids], "v long")
+    for seed in (0, 1, 7):
+        got = [(r["v"], r["x"], r["y"]) for r in df.withColumn("x", components.shuffled(F.col("v"), seed)).withColumn("y", components.unshuffled(F.col("x"), seed)).collect()]
+        assert all(v == y for v, _, y in got) and len({x for _, x, _ in got}) == len(ids)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1200)] + [(-(2**63), 2**63 - 1), (7000, 7000)]
+    got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    sizes = Counter(r["root"] for r in got)
+    assert sorted(sizes.values()) == [2, 200, 301] and len({r["node"] for r in got}) == 503
+
+
 def test_close_edges_connect_keys_of_every_size(spark):
     rng = np.random.default_rng(9)
     fps = []
