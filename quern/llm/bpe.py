@@ -72,6 +72,10 @@ class Codec:
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.cache_chunks, self.young, self.old = cache_chunks, {}, {}
 
+    def forget(self) -> None:
+        """Empty the caches, so that a worker that waits for other work holds little."""
+        self.young, self.old = {}, {}
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in a row, and how many each word has; words are not empty."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -216,6 +220,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, .
         for b in batches:
             ids = [c.ids(e) for texts in _slices(b.column(len(keep))) for e in c.encode_batch(texts)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(i) for i in ids], pa.string())], names=[*keep, "ids", "decoded"])
+        c.forget()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "ids array<int>", "decoded string"])
     return df.select(*[f"`{c}`" for c in keep], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, schema)
@@ -234,5 +239,6 @@ def encode_digests(df: DataFrame, tokenizer: str) -> DataFrame:
                     ids_sha.append(hashlib.sha256(e[:-1]).hexdigest())
                     text_sha.append(hashlib.sha256(c.decode_text(e).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.forget()
 
     return df.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
