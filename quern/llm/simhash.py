@@ -7,7 +7,8 @@ fingerprints are compared in one numpy pass that returns a spanning forest of th
 the pairs. A key of two or three fingerprints names its members by its aggregates alone, and their at
 most three pairs are checked once, however many keys share them. A key with more than ``CHUNK``
 distinct fingerprints is dealt into chunks by hash and compared chunk against chunk, so that no task
-holds a hot key. Components of the forests' edges are the groups.
+holds a hot key. Components of the forests' edges are the groups. The pipeline's near copies
+(``near_groups``) go the same way with keys of minima, and are decided on the exact shingle sets.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero, linked like any
 other; fewer words than a shingle form one shingle; rows with equal texts share a group; a group is
@@ -90,15 +91,6 @@ def pigeonhole_keys(blocks: int, distance: int) -> list[np.ndarray]:
     return [np.concatenate(c) for c in combinations(cuts, blocks - distance)]
 
 
-def sampled_keys(bits: int, size: int, count: int) -> list[np.ndarray]:
-    """``count`` keys of ``size`` bits: blocks of one fixed shuffle of all bits after another."""
-    rng, out = np.random.default_rng(7), []
-    while len(out) < count:
-        order = rng.permutation(bits)
-        out += [np.sort(order[i : i + size]) for i in range(0, bits - size + 1, size)]
-    return out[:count]
-
-
 def _bits(fps: list[bytes]) -> np.ndarray:
     return np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
 
@@ -231,15 +223,143 @@ def link(df: DataFrame, words: int = 3, most: int = 3, blocks: int = 5) -> DataF
     return groups(fingerprints(df, words), pigeonhole_keys(blocks, most), most)
 
 
-def near_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 4, key_bits: int = 24, keys: int = 128) -> DataFrame:
-    """doc_id, fp, component_id at a resemblance of shingle sets of ``similarity`` or more, as 256 fingerprint bits tell it.
+# ---- near copies by exact shingle sets
+
+#: Bands and minima a band: at a resemblance of 0.8 a pair shares no band in (1 - 0.8 ** 5) ** 24 = 0.007 % of cases.
+BANDS, MINIMA = 24, 5
+_RNG = np.random.default_rng(7)
+TIMES, PLUS = _RNG.integers(0, 1 << 63, (2, BANDS * MINIMA), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The sorted distinct shingle hashes."""
+    return np.unique(shingle_hashes(text, words))
+
 
-    Sets of equal size with Jaccard similarity J are at cosine 2J / (1 + J), and each bit differs with
-    probability angle / pi. No few blocks of a fingerprint can hold all those differing bits, so the
-    keys are ``keys`` blocks of ``key_bits`` bits out of repeated shuffles of all bits.
+def set_id(hashes: np.ndarray) -> int:
+    """A signed 64-bit name of a set of hashes."""
+    return int(np.array([xxhash.xxh64_intdigest(hashes.tobytes())], np.uint64).view(np.int64)[0])
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A 64-bit key for each band of minima of the set, none for the empty set."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * MINIMA, ~np.uint64(0))
+    for at in range(0, len(hashes), 1024):
+        least = np.minimum(least, (hashes[at : at + 1024, None] * TIMES + PLUS).min(axis=0))
+    return np.array([xxhash.xxh64_intdigest(m.tobytes(), i) for i, m in enumerate(least.reshape(BANDS, MINIMA))], np.uint64).view(np.int64).tolist()
+
+
+def alike(sets: list[np.ndarray], left: int | None, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets at a resemblance of ``similarity`` or more; with ``left``, of pairs from before it to it or after it."""
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, name = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(name, kind="stable")
+    holders = owner[order]
+    starts = np.r_[0, np.cumsum(np.bincount(name))]
+    at = np.r_[0, np.cumsum(size)]
+    root, out = np.arange(len(sets)), []
+    for i in range(len(sets) if left is None else left):
+        shared = np.zeros(len(sets), np.int64)
+        for x in name[at[i] : at[i + 1]]:
+            shared[holders[starts[x] : starts[x + 1]]] += 1
+        shared[: i + 1 if left is None else left] = 0
+        hit = np.flatnonzero((shared > 0) & (shared >= similarity * (size + size[i] - shared) - 1e-9))
+        roots, first = np.unique(root[hit], return_index=True)
+        new = roots != root[i]
+        if new.any():
+            out += [(i, int(j)) for j in hit[first[new]]]
+            root[np.isin(root, roots)] = root[i]
+    return out
+
+
+def near_edges(docs: DataFrame, prints: DataFrame, words: int, similarity: float, chunk: int = CHUNK) -> DataFrame:
+    """Edges (a, b) of set ids that connect the sets at ``similarity`` or more which share a band.
+
+    ``prints``: doc_id, id, keys. Keys with the same members count once; the shingle sets are made again, for members of shared keys alone.
     """
-    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return groups(fingerprints(df, words, width), sampled_keys(64 * width, key_bits, keys), int(round(64 * width * angle)))
+    rows = save(prints.select(F.explode("keys").alias("key"), "id").distinct(), "keys")
+    members = (F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor("id").alias("x"))
+    shared = rows.groupBy("key").agg(*members).where("n > 1").groupBy("n", "lo", "hi", "x").agg(F.min("key").alias("key"))
+    shared = save(shared, "shared")
+    held = rows.join(shared.select("key", "n"), "key")
+    least = prints.groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+    wanted = least.join(held.select("id").distinct(), "id").select("doc_id").distinct()
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, len(b), 256):
+                sets = [shingle_set(t.as_py(), words) for t in b.column(0).slice(at, 256)]
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "hashes"])
+
+    sets = save(docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(make, "id bigint, hashes binary").dropDuplicates(["id"]), "sets")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = []
+            for a, c, x, y in zip(*b.columns, strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= similarity * (len(x) + len(y) - both) - 1e-9:
+                    pairs.append((a.as_py(), c.as_py()))
+            if pairs:
+                yield _edges(pairs)
+
+    few = _few_pairs(shared.where(F.col("n") <= FEW))
+    for side in "ab":
+        few = few.join(sets.select(F.col("id").alias(side), F.col("hashes").alias("hashes_" + side)), side)
+    few = few.select("a", "b", "hashes_a", "hashes_b").mapInArrow(check, "a bigint, b bigint")
+
+    r = held.where(F.col("n") > FEW).withColumn("parts", F.ceil(F.col("n") / chunk).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    r = r.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    r = r.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "hashes")
+
+    def compare(at: tuple[int, int, int], group: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
+        _, i, j = at
+        group = sorted(group, key=lambda g: g[:2])
+        left = None if i == j else sum(own == i for own, *_ in group)
+        if len(group) < 2 or left in (0, len(group)):
+            return []
+        return [(group[a][1], group[b][1]) for a, b in alike([h for *_, h in group], left, similarity)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, group = None, []
+        for b in batches:
+            for key, i, j, own, n, hashes in zip(*b.columns, strict=True):
+                here = (key.as_py(), i.as_py(), j.as_py())
+                if here != at:
+                    if group and (out := compare(at, group)):
+                        yield _edges(out)
+                    at, group = here, []
+                group.append((own.as_py(), n.as_py(), np.frombuffer(hashes.as_py(), np.uint64)))
+        if group and (out := compare(at, group)):
+            yield _edges(out)
+
+    by = ("key", "i", "j")
+    return few.union(r.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a bigint, b bigint"))
+
+
+def near_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, component_id of the rows with a doc_id: linked at a resemblance of shingle sets of ``similarity`` or more.
+
+    Candidates share one of ``BANDS`` keys of minima of their sets; each is then checked on the exact sets
+    (64-bit hashes stand for the shingles). SimHash bits estimate the resemblance too coarsely for that.
+    """
+    docs = df.where("doc_id IS NOT NULL").select("doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py(), words) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(set_id, sets), pa.int64()), pa.array(map(band_keys, sets), pa.list_(pa.int64()))], names=["doc_id", "id", "keys"])
+
+    prints = save(docs.mapInArrow(run, "doc_id bigint, id bigint, keys array<bigint>"), "sets")
+    roots = components(near_edges(docs, prints, words, similarity, chunk))
+    named = prints.select("doc_id", "id")
+    named = named.withColumn("root", F.col("id")) if roots is None else named.join(roots, F.col("id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "id").alias("root"))
+    named = save(named, "roots")
+    return named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 
 
 def keep_one(df: DataFrame, **options) -> DataFrame:
@@ -247,6 +367,6 @@ def keep_one(df: DataFrame, **options) -> DataFrame:
 
     Of several rows with that doc_id one stays.
     """
-    kept = near_groups(df.where("doc_id IS NOT NULL"), **options).groupBy("component_id").agg(F.min("doc_id").alias("__kept")).select("__kept").distinct()
+    kept = near_groups(df, **options).groupBy("component_id").agg(F.min("doc_id").alias("__kept")).select("__kept").distinct()
     known = df.join(kept, df["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
     return known.unionByName(df.where("doc_id IS NULL"))

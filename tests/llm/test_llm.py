@@ -151,6 +151,32 @@ def test_simhash_components(spark):
     assert simhash.keep_one(df).count() < len(texts)
 
 
+def test_near_groups_equal_brute_force(spark):
+    rng = random.Random(11)
+    texts = ["", None, "one two"]
+    for n in (40, 60, 120, 300):
+        for _ in range(12):
+            base = [f"w{rng.randint(0, 9999)}" for _ in range(n)]
+            texts.append(" ".join(base))
+            for edits in (1, 2, 3, 5, 7, 9):
+                copy = list(base)
+                for at in rng.sample(range(n), min(edits * n // 300 + 1, n)):
+                    copy[at] = f"x{rng.randint(0, 9999)}"
+                texts.append(" ".join(copy))
+    shared = [f"s{i}" for i in range(104)]
+    texts += [" ".join(shared[: 104 - 10 * (k % 2)] + [f"t{k}-{i}" for i in range(4 + k % 7)]) for k in range(30)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for t in texts]
+    close = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or len(a & b) / len(a | b) >= 0.8]
+    assert sum(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) < 0.84 for i, j in close if sets[i]) > 20
+    name = list(range(len(texts)))
+    while any(name[i] != name[j] for i, j in close):
+        for i, j in close:
+            name[i] = name[j] = min(name[i], name[j])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for chunk in (2048, 4):
+        assert {r["doc_id"]: r["component_id"] for r in simhash.near_groups(df, chunk=chunk).collect()} == dict(enumerate(name))
+
+
 def test_components_of_paths_stars_and_extreme_ids(spark):
     ids = [0, -1, 1, 2**63 - 1, -(2**63), 2**33, 2**33 + 1, 5 << 33]
     df = spark.createDataFrame([(i,) for i in ids], "v long")
