@@ -6,9 +6,11 @@ them). Each task adds its counts up by key and sends them as packed, sorted runs
 
 The filter holds quantised counts: an n-gram seen c >= 2 times is entered once for each level
 1 .. floor(log2 c). Looking it up probes level after level until one is missing, and gives back
-sqrt(2) * 2**level. Its size is ``BITS`` at most; while the entries need more than that, the least
-count that is entered rises (it is 2 wherever they fit). Segments of the filter are built where their
-counts are, and only the bits travel to the driver and to the workers.
+sqrt(2) * 2**level. Each segment's part is built where its counts are and sized from its own
+entries, so the filter grows with what was counted and nothing is dropped at any size.
+
+No worker holds the whole filter: the texts are dealt into runs, each run's distinct n-grams are looked
+up in their segments, and the answers come back to the run.
 
 score = sum of log10(L * min(1, c(v, w) / c(v)) + (1 - L) * (c(w) + 1) / (N + V + 1)), counts as looked up,
 v the token before (the end token before a text's first).
@@ -27,14 +29,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.work import save
 
-BITS, HEAD, PROBES, LAMBDA = 1 << 28, 1_000_000, 4, 0.4
-#: Bits that an entry needs; tokens counted together; bytes of input for a segment.
-ENTRY_BITS, RUN_TOKENS, SEGMENT_BYTES = 8, 1_500_000, 8 << 20
+HEAD, PROBES, LAMBDA = 1_000_000, 4, 0.4
+#: Bits that an entry gets at least; tokens counted together; bytes of text scored together; bytes of input for a segment.
+ENTRY_BITS, RUN_TOKENS, RUN_BYTES, SEGMENT_BYTES = 8, 1_500_000, 9 << 20, 8 << 20
 #: No word has white space in it.
 END = b" "
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -78,13 +81,21 @@ def _add_up(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-COUNTS = "n int, seg int, types bigint, total bigint, keys binary, counts binary"
+def runs_of_ngrams(texts: list[list[bytes]], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words and of the pairs of tokenised texts, in order."""
+    w = np.array([hashes[x] for t in texts for x in t], np.uint64)
+    v = np.r_[np.uint64(0), w[:-1]]
+    v[np.r_[0, np.cumsum([len(t) for t in texts])[:-1]]] = np.uint64(hashes[END])
+    return w, pair_hash(v, w)
+
+
+COUNTS = "n int, seg int, types bigint, total bigint, keys binary, counts binary, size bigint, bits binary"
 
 
 def count_ngrams(texts: DataFrame, segments: int) -> DataFrame:
-    """Words (n = 1) and pairs (n = 2) of ``texts``: a row for each n and segment, keys and counts packed.
+    """Words (n = 1) and pairs (n = 2) of ``texts``: a row for each n and segment, with its part of the filter.
 
-    Pairs seen once are counted in ``types`` and ``total`` and not listed: no level holds them.
+    Words' keys and counts are packed as well; pairs need none beside the filter.
     """
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,9 +132,10 @@ def count_ngrams(texts: DataFrame, segments: int) -> DataFrame:
     def add_up(t: pa.Table) -> pa.Table:
         n = t["n"][0].as_py()
         k, c = _add_up(np.frombuffer(b"".join(t["keys"].to_pylist()), np.uint64), np.frombuffer(b"".join(t["counts"].to_pylist()), np.uint32).astype(np.int64))
-        types, total, keep = len(k), int(c.sum()), c >= n
-        return pa.table({"n": [n], "seg": t["seg"][:1], "types": [types], "total": [total], "keys": pa.array([k[keep].tobytes()], pa.binary()), "counts": pa.array([c[keep].tobytes()], pa.binary())}).cast(
-            pa.schema([("n", pa.int32()), ("seg", pa.int32()), ("types", pa.int64()), ("total", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+        size = filter_size(c)
+        listed = (k.tobytes(), c.tobytes()) if n == 1 else (b"", b"")
+        return pa.table({"n": [n], "seg": t["seg"][:1], "types": [len(k)], "total": [int(c.sum())], "keys": pa.array(listed[:1], pa.binary()), "counts": pa.array(listed[1:], pa.binary()), "size": [size], "bits": pa.array([Filter.build([(n, k, c)], 1, size)], pa.binary())}).cast(
+            pa.schema([("n", pa.int32()), ("seg", pa.int32()), ("types", pa.int64()), ("total", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("size", pa.int64()), ("bits", pa.binary())])
         )
 
     return texts.select("text").mapInArrow(runs, "n int, seg int, keys binary, counts binary").groupBy("n", "seg").applyInArrow(add_up, COUNTS)
@@ -134,6 +146,11 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(np.float64))[1] - 1
 
 
+def filter_size(counts: np.ndarray) -> int:
+    """Bits for all entries of these counts: the least power of two that gives each ``ENTRY_BITS``."""
+    return 1 << max(6, int(levels(counts).sum() * ENTRY_BITS - 1).bit_length())
+
+
 class Filter:
     """The log-frequency Bloom filter: ``segments`` ranges of ``size`` bits (a power of two) each."""
 
@@ -178,10 +195,10 @@ class Filter:
 
 
 class Lookup:
-    """What workers get: the filter, the exact counts of frequent words, and the totals."""
+    """What workers get: the exact counts of frequent words, and the totals."""
 
-    def __init__(self, filter_: Filter, head: np.ndarray, head_counts: np.ndarray, total: int, types: int):
-        self.filter, self.head, self.head_counts, self.total, self.types = filter_, head, head_counts, total, types
+    def __init__(self, head: np.ndarray, head_counts: np.ndarray, total: int, types: int):
+        self.head, self.head_counts, self.total, self.types = head, head_counts, total, types
 
     def exact(self, h: np.ndarray) -> np.ndarray:
         """Counts of frequent words, -1 for others."""
@@ -191,39 +208,39 @@ class Lookup:
         return np.where(self.head[at] == h, self.head_counts[at], -1)
 
 
-class Words:
-    """A worker's memory of words: hash, exact count and looked-up count by number. Bounded; forgetting changes no result."""
+class Answers:
+    """What the filter gave back for the n-grams of a run."""
 
-    def __init__(self, m: Lookup, most: int = 400_000):
-        self.m, self.most = m, most
-        self.number: dict[bytes, int] = {}
-        self.hash, self.exact, self.seen = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0)
+    def __init__(self, t: pa.Table):
+        self.found = {}
+        n = t["n"].to_numpy()
+        for i in (1, 2):
+            some = t.filter(pa.array(n == i))
+            h = np.frombuffer(b"".join(some["keys"].to_pylist()), np.uint64)
+            level = np.frombuffer(b"".join(some["levels"].to_pylist()), np.uint8)
+            order = np.argsort(h)
+            self.found[i] = h[order], level[order]
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self.number) > self.most:
-            self.number.clear()
-            self.hash, self.exact, self.seen = self.hash[:0], self.exact[:0], self.seen[:0]
-        new = list({w: None for w in words if w not in self.number})
-        if new:
-            h = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-            self.hash, self.exact, self.seen = np.r_[self.hash, h], np.r_[self.exact, self.m.exact(h)], np.r_[self.seen, self.m.filter.counts(h, 1)]
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+    def counts(self, h: np.ndarray, n: int) -> np.ndarray:
+        keys, level = self.found[n]
+        q = level[np.searchsorted(keys, h)].astype(np.float64)
+        return np.where(q > 0, 2.0 ** (q + 0.5), 0)
 
 
-def _score(m: Lookup, words: Words, texts: list[str | None]) -> tuple:
+def _score(m: Lookup, answers: Answers, hashes: WordHashes, texts: list[str | None]) -> tuple:
     """Of each text: tokens, known frequent tokens, their part of the base score, the score, hashes of other tokens."""
     rows = [tokens(t) for t in texts]
     n = np.fromiter(map(len, rows), np.int64, len(rows))
     starts = np.r_[0, np.cumsum(n)[:-1]]
-    w = words.of([x for r in rows for x in r])
-    v = np.r_[0, w[:-1]]
-    v[starts] = w[-1]  # the end token, which ends every text
-    h, exact, seen = words.hash[w], words.exact[w], words.seen[w]
+    h, pairs = runs_of_ngrams(rows, hashes)
+    kinds, at = np.unique(h, return_inverse=True)
+    exact, seen = m.exact(kinds)[at], answers.counts(kinds, 1)[at]
+    before = np.r_[0, seen[:-1]]
+    before[starts] = seen[-1]  # the end token, which ends every text
     space = m.total + m.types + 1
     known = exact >= 0
     base = np.add.reduceat(np.where(known, np.log10(np.maximum(exact, 0) + 1), 0), starts)
-    pair, before = m.filter.counts(pair_hash(words.hash[v], h), 2), words.seen[v]
+    pair = answers.counts(pairs, 2)
     p = (1 - LAMBDA) * np.minimum(1.0, (seen + 1) / space) + LAMBDA * np.minimum(1.0, np.where(before > 0, pair / np.maximum(before, 1), 0))
     score = np.add.reduceat(np.log10(p), starts)
     rest = [x.tolist() for x in np.split(np.where(known, 0, h).view(np.int64), starts[1:])]
@@ -239,11 +256,10 @@ def input_bytes(df: DataFrame) -> int:
 class Trained:
     """Counts in the shared folder, and the broadcast part of the model."""
 
-    def __init__(self, texts: DataFrame, size: int, bits: int = BITS, head: int = HEAD):
+    def __init__(self, texts: DataFrame, size: int, head: int = HEAD):
         """``texts``: column text; ``size``: bytes of input, which sets the number of segments."""
-        segments = 1 << int(np.clip(np.ceil(np.log2(max(1, size / SEGMENT_BYTES))), 4, 14))
-        self.counts = save(count_ngrams(texts, segments), "ngrams")
-        per_segment = max(64, bits // segments)
+        self.segments = 1 << int(np.clip(np.ceil(np.log2(max(1, size / SEGMENT_BYTES))), 4, 14))
+        self.counts = save(count_ngrams(texts, self.segments), "ngrams")
 
         def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             by: dict[tuple[int, int], list[int]] = {}
@@ -253,34 +269,27 @@ class Trained:
                         by[n, int(x)] = by.get((n, int(x)), 0) + int(k)
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in by], pa.int32()), pa.array([c for _, c in by], pa.int64()), pa.array(list(by.values()), pa.int64())], names=["n", "c", "grams"])
 
-        # how many n-grams have each count: its rows are as many as distinct counts
-        tallied = self.counts.select("n", "counts").mapInArrow(tally, "n int, c bigint, grams bigint").groupBy("n", "c").agg(F.sum("grams").alias("grams")).toPandas()
+        # how many words have each count: its rows are as many as distinct counts
+        tallied = self.counts.where("n = 1").select("n", "counts").mapInArrow(tally, "n int, c bigint, grams bigint").groupBy("n", "c").agg(F.sum("grams").alias("grams")).toPandas()
         rows = self.counts.where("n = 1").agg(F.sum("types"), F.sum("total")).first()
         types, total = int(rows[0] or 0), int(rows[1] or 0)
-        c, grams = tallied["c"].to_numpy(np.int64), tallied["grams"].to_numpy(np.int64)
-        least = 2
-        while least < 1 << 40 and (grams * np.where(c >= least, levels(np.maximum(c, 1)), 0)).sum() * ENTRY_BITS > segments * per_segment:
-            least += 1 if least < 16 else least // 4
         words = tallied[tallied["n"] == 1].sort_values("c", ascending=False)
         fits = words["c"][words["grams"].cumsum() <= head]
         self.head_least = int(fits.min()) if len(fits) else 1 << 62
         head_least = self.head_least
-        half = 1 << int(np.floor(np.log2(per_segment)))
-
-        def make(t: pa.Table) -> pa.Table:
-            entries = [(n, np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)) for n, k, c in zip(t["n"].to_pylist(), t["keys"].to_pylist(), t["counts"].to_pylist(), strict=True)]
-            keep = [(k[c >= head_least], c[c >= head_least]) for n, k, c in entries if n == 1]
-            return pa.table({"seg": t["seg"][:1], "bits": pa.array([Filter.build(entries, least, half)], pa.binary()), "head": pa.array([b"".join(k.tobytes() for k, _ in keep)], pa.binary()), "head_counts": pa.array([b"".join(c.tobytes() for _, c in keep)], pa.binary())})
-
-        made = self.counts.select("seg", "n", "keys", "counts").groupBy("seg").applyInArrow(make, "seg int, bits binary, head binary, head_counts binary")
-        # BITS / 8 bytes of filter and at most HEAD words: the bound of what comes to the driver
-        got = made.orderBy("seg").toArrow()
-        flat = np.zeros(segments * half // 8, np.uint8)
-        for s, x in zip(got["seg"].to_pylist(), got["bits"].to_pylist(), strict=True):
-            flat[s * (half // 8) : (s + 1) * (half // 8)] = np.frombuffer(x, np.uint8)
+
+        def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    k, c = np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([k[c >= head_least].tobytes()], pa.binary()), pa.array([c[c >= head_least].tobytes()], pa.binary())], names=["head", "head_counts"])
+
+        # at most HEAD words: the bound of what comes to the driver
+        got = self.counts.where("n = 1").select("keys", "counts").mapInArrow(frequent, "head binary, head_counts binary").toArrow()
         head_keys = np.frombuffer(b"".join(got["head"].to_pylist()), np.uint64)
         head_counts = np.frombuffer(b"".join(got["head_counts"].to_pylist()), np.int64)
-        self.lookup = Lookup(Filter(segments, half, flat), head_keys, head_counts, total, types)
+        order = np.argsort(head_keys)
+        self.lookup = Lookup(head_keys[order], head_counts[order], total, types)
 
     def rare(self) -> DataFrame:
         """h, c: every word that isn't broadcast, with its exact count."""
@@ -296,18 +305,71 @@ class Trained:
 
     def score(self, df: DataFrame) -> DataFrame:
         """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of (doc_id, text)."""
-        m = self.lookup
+        m, segments = self.lookup, self.segments
         shared = df.sparkSession.sparkContext.broadcast(m)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = Words(shared.value)
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, run, size = TaskContext.get().partitionId() << 32, 0, 0
             for b in batches:
-                for at in range(0, len(b), 256):
-                    some = b.slice(at, 256)
-                    n, known, base, score, rest = _score(shared.value, words, some.column(1).to_pylist())
-                    yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n), pa.array(known), pa.array(base), pa.array(score), pa.array(rest, pa.list_(pa.int64()))], names=["doc_id", "n", "known", "base", "score", "rest"])
+                runs = []
+                for t in b.column(1):
+                    size += len(t.as_buffer()) if t.is_valid else 0
+                    runs.append(part | run)
+                    if size > RUN_BYTES:
+                        run, size = run + 1, 0
+                yield pa.RecordBatch.from_arrays([pa.array(runs, pa.int64()), *b.columns], names=["run", "doc_id", "text"])
+
+        dealt = save(df.select("doc_id", "text").mapInArrow(deal, "run bigint, doc_id bigint, text string"), "dealt")
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes, at, held = WordHashes(), None, [[], []]
+
+            def flush() -> pa.RecordBatch:
+                cols: list[list] = [[], [], []]
+                for n, some in enumerate(held, 1):
+                    k = np.unique(np.concatenate(some))
+                    cut = np.searchsorted(segment(k, segments).astype(np.int64), np.arange(segments + 1))
+                    for i in np.flatnonzero(np.diff(cut)):
+                        for col, x in zip(cols, (n, int(i), k[cut[i] : cut[i + 1]].tobytes()), strict=True):
+                            col.append(x)
+                    some.clear()
+                return pa.RecordBatch.from_arrays([pa.array([at] * len(cols[0]), pa.int64()), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["run", "n", "seg", "keys"])
 
-        first = df.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, known bigint, base double, score double, rest array<bigint>")
+            for b in batches:
+                runs = b.column(0).to_numpy()
+                cuts = np.r_[0, np.flatnonzero(np.diff(runs)) + 1, len(runs)] if len(runs) else []
+                for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                    if at is not None and runs[lo] != at:
+                        yield flush()
+                    at = int(runs[lo])
+                    for i in range(lo, hi, 256):
+                        found = runs_of_ngrams([tokens(t) for t in b.column(1).slice(i, min(256, hi - i)).to_pylist()], hashes)
+                        for some, h in zip(held, found, strict=True):
+                            some.append(np.unique(h))
+            if at is not None:
+                yield flush()
+
+        def answer(asked: pa.Table, part: pa.Table) -> pa.Table:
+            out = []
+            f = Filter(1, part["size"][0].as_py(), np.frombuffer(part["bits"][0].as_py(), np.uint8)) if len(part) else None
+            for n, k in zip(asked["n"].to_pylist(), asked["keys"].to_pylist(), strict=True):
+                seen = f.counts(np.frombuffer(k, np.uint64), n) if f else np.zeros(len(k) // 8)
+                out.append(((np.frexp(seen)[1] - 1) * (seen > 0)).astype(np.uint8).tobytes())
+            return pa.table({"run": asked["run"], "n": asked["n"], "keys": asked["keys"].cast(pa.binary()), "levels": pa.array(out, pa.binary())})
+
+        asked = dealt.select("run", "text").mapInArrow(ask, "run bigint, n int, seg int, keys binary").groupBy("n", "seg")
+        answers = asked.cogroup(self.counts.select("n", "seg", "size", "bits").groupBy("n", "seg")).applyInArrow(answer, "run bigint, n int, keys binary, levels binary")
+
+        def run(texts: pa.Table, answered: pa.Table) -> pa.Table:
+            known, hashes, out = Answers(answered), WordHashes(), []
+            names = ["doc_id", "n", "known", "base", "score", "rest"]
+            for at in range(0, len(texts), 256):
+                some = texts.slice(at, 256)
+                n, k, base, score, rest = _score(shared.value, known, hashes, some["text"].to_pylist())
+                out.append(pa.table([some["doc_id"], pa.array(n), pa.array(k), pa.array(base), pa.array(score), pa.array(rest, pa.list_(pa.int64()))], names=names))
+            return pa.concat_tables(out)
+
+        first = dealt.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(run, "doc_id bigint, n bigint, known bigint, base double, score double, rest array<bigint>")
         first = save(first.withColumn("row", F.monotonically_increasing_id()), "scored")
         rare = first.select("row", F.explode("rest").alias("h")).join(self.rare(), "h").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("base_more"))
         out = first.drop("rest").join(rare, "row", "left")

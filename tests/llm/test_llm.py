@@ -241,6 +241,21 @@ def test_filter_recalls_levels():
     assert (f.counts(keys, 2) > 0).mean() < 0.1
 
 
+def test_lm_filter_grows_with_what_is_counted(spark, monkeypatch):
+    counts = lambda texts: lm.count_ngrams(spark.createDataFrame([(t,) for t in texts], "text string"), 4).select("types", "size").collect()
+    small, large = (counts([" ".join(f"w{i}" for i in range(n))] * 2) for n in (2000, 40000))
+    for r in (*small, *large):
+        assert r["size"] >= r["types"] * lm.ENTRY_BITS
+    assert sum(r["size"] for r in large) >= 10 * sum(r["size"] for r in small)
+    # runs of many texts or of one give the same scores
+    df = spark.createDataFrame([(i, f"a{i % 7} b{i % 5} c{i}") for i in range(50)], "doc_id long, text string")
+    m = lm.Trained(df.where("doc_id % 3 > 0").select("text"), 1000)
+    scores = lambda: {r["doc_id"]: r["score"] for r in m.score(df).collect()}
+    want = scores()
+    monkeypatch.setattr(lm, "RUN_BYTES", 20)
+    assert len(want) == 50 and scores() == want
+
+
 def test_line_dedup_keeps_one_copy(spark):
     p = "one line\ntwo line\nthree line\nfour line"
     df = spark.createDataFrame([(1, "x\n" + p), (2, p + "\ny"), (3, "one line\ntwo line"), (4, "a\na\na\na\na")], "doc_id long, text string")
