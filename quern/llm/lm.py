@@ -4,9 +4,9 @@ Training counts words and word pairs of the whole training corpus exactly (64-bi
 them). Each task adds its counts up by key and sends them as packed, sorted runs; hash ranges
 ("segments") are then added up apart from one another, so no task gathers a hot key's rows.
 
-The filter holds quantised counts: an n-gram seen c >= 2 times is entered once for each level
-1 .. floor(log2 c). Looking it up probes level after level until one is missing, and gives back
-sqrt(2) * 2**level. Each segment's part is built where its counts are and sized from its own
+The filter holds quantised counts: an n-gram seen c times is entered once for each level
+1 .. 1 + floor(log2 c). Looking it up probes level after level until one is missing, and gives back
+sqrt(2) * 2**(level - 1). Each segment's part is built where its counts are and sized from its own
 entries, so the filter grows with what was counted and nothing is dropped at any size.
 
 No worker holds the whole filter: the texts are dealt into runs, each run's distinct n-grams are looked
@@ -142,13 +142,13 @@ def count_ngrams(texts: DataFrame, segments: int) -> DataFrame:
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
-    """floor(log2 c): the levels an n-gram is entered at."""
+    """floor(log2 c): an n-gram is entered at one level more than that."""
     return np.frexp(counts.astype(np.float64))[1] - 1
 
 
 def filter_size(counts: np.ndarray) -> int:
     """Bits for all entries of these counts: the least power of two that gives each ``ENTRY_BITS``."""
-    return 1 << max(6, int(levels(counts).sum() * ENTRY_BITS - 1).bit_length())
+    return 1 << max(6, int((levels(counts) + 1).sum() * ENTRY_BITS - 1).bit_length())
 
 
 class Filter:
@@ -171,14 +171,14 @@ class Filter:
         """A segment's bits from (n, hashes, counts)."""
         bits = np.zeros(size, bool)
         for n, h, c in entries:
-            q = np.where(c >= least, levels(c), 0)
+            q = np.where(c >= least, levels(c) + 1, 0)
             for level in range(1, int(q.max(initial=0)) + 1):
                 for p in Filter.positions(h[q >= level], n, level, size):
                     bits[p] = True
         return np.packbits(bits, bitorder="little").tobytes()
 
     def counts(self, h: np.ndarray, n: int) -> np.ndarray:
-        """Counts as entered, sqrt(2) * 2**level; 0 for what isn't found."""
+        """Counts as entered, sqrt(2) * 2**(level - 1); 0 for what isn't found."""
         out, at = np.zeros(len(h)), np.arange(len(h))
         base = segment(h, self.segments) * np.uint64(self.size)
         level = 0
@@ -190,7 +190,7 @@ class Filter:
                 place = base[at[i]] + p[i]
                 found[i] = (self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
             at = at[found]
-            out[at] = 2.0 ** (level + 0.5)
+            out[at] = 2.0 ** (level - 0.5)
         return out
 
 
@@ -224,7 +224,7 @@ class Answers:
     def counts(self, h: np.ndarray, n: int) -> np.ndarray:
         keys, level = self.found[n]
         q = level[np.searchsorted(keys, h)].astype(np.float64)
-        return np.where(q > 0, 2.0 ** (q + 0.5), 0)
+        return np.where(q > 0, 2.0 ** (q - 0.5), 0)
 
 
 def _score(m: Lookup, answers: Answers, hashes: WordHashes, texts: list[str | None]) -> tuple:
@@ -354,7 +354,7 @@ class Trained:
             f = Filter(1, part["size"][0].as_py(), np.frombuffer(part["bits"][0].as_py(), np.uint8)) if len(part) else None
             for n, k in zip(asked["n"].to_pylist(), asked["keys"].to_pylist(), strict=True):
                 seen = f.counts(np.frombuffer(k, np.uint64), n) if f else np.zeros(len(k) // 8)
-                out.append(((np.frexp(seen)[1] - 1) * (seen > 0)).astype(np.uint8).tobytes())
+                out.append((np.frexp(seen)[1] * (seen > 0)).astype(np.uint8).tobytes())
             return pa.table({"run": asked["run"], "n": asked["n"], "keys": asked["keys"].cast(pa.binary()), "levels": pa.array(out, pa.binary())})
 
         asked = dealt.select("run", "text").mapInArrow(ask, "run bigint, n int, seg int, keys binary").groupBy("n", "seg")

@@ -256,6 +256,13 @@ def test_lm_filter_grows_with_what_is_counted(spark, monkeypatch):
     assert len(want) == 50 and scores() == want
 
 
+def test_lm_knows_what_was_seen_once(spark):
+    train = spark.createDataFrame([("once upon a b",), ("x y x y x y x q",)], "text string")
+    df = spark.createDataFrame([(1, "once upon"), (2, "once never"), (3, "never upon"), (4, "upon once")], "doc_id long, text string")
+    s = {r["doc_id"]: r["score"] for r in lm.Trained(train, 1000).score(df).collect()}
+    assert s[1] > s[2] > s[4] > s[3]
+
+
 def test_line_dedup_keeps_one_copy(spark):
     p = "one line\ntwo line\nthree line\nfour line"
     df = spark.createDataFrame([(1, "x\n" + p), (2, p + "\ny"), (3, "one line\ntwo line"), (4, "a\na\na\na\na")], "doc_id long, text string")
