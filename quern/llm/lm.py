@@ -1,22 +1,27 @@
 """LM scoring with a log-frequency Bloom filter.
 
-Training counts words and word pairs of the whole training corpus exactly (64-bit hashes stand for
-them). Each task adds its counts up by key and sends them as packed, sorted runs; hash ranges
+Training counts words and word pairs of the whole training corpus exactly (hashes of 64 and 48 bits
+stand for them). Each task adds its counts up by key and sends them as packed, sorted runs; hash ranges
 ("segments") are then added up apart from one another, so no task gathers a hot key's rows.
 
-The filter holds quantised counts: an n-gram seen c times is entered once for each level
-1 .. 1 + floor(log2 c). Looking it up probes level after level until one is missing, and gives back
-sqrt(2) * 2**(level - 1). Each segment's part is built where its counts are and sized from its own
-entries, so the filter grows with what was counted and nothing is dropped at any size.
+The filter holds quantised counts. Level q stands for the counts from ``BOUNDS[q - 1]`` up to the next
+bound: the distinct integers of a geometric series, so that small counts are exact and others lie
+within 5 %. An n-gram is entered once for each level up to its own. Looking it up probes level after
+level until one is missing; the last one found gives back the mean count of the training n-grams of
+that level, so that all counts given back add up to the tokens counted. Each segment's part is built
+where its counts are and sized from its own entries: the filter grows with what was counted and
+nothing is dropped at any size.
 
-No worker holds the whole filter: the texts are dealt into runs, each run's distinct n-grams are looked
-up in their segments, and the answers come back to the run.
+The filter outgrows every bound for a broadcast, so its parts stay where they were built: the texts
+are dealt into runs, each run's distinct n-grams are looked up in their segments, and the levels come
+back to the run.
 
-score = sum of log10(L * min(1, c(v, w) / c(v)) + (1 - L) * (c(w) + 1) / (N + V + 1)), counts as looked up,
-v the token before (the end token before a text's first).
+score = sum of log10 p(w | v), v the token before (the end token before a text's first), with
+p(w | v) = L * min(1, c(v, w) / c(v)) + (1 - L) * (c(w) + 1) / (N + V + 1), counts as looked up, and
+the second term alone (without its factor) after a v that training has not seen. Over all words, seen
+and unseen, that adds up to 1 but for quantisation and the filter's false positives.
 
-The base score needs the exact count of every word. The most frequent ``HEAD`` words are broadcast (that
-bounds the broadcast); occurrences of all other words are joined with the word counts.
+The base score takes the exact counts of words, which the same segments hold.
 
 Defined results: null text is empty and has the end token alone; with no training rows N, V and all counts
 are 0; rows with equal doc_ids are scored apart; rows with null doc_id train the model.
@@ -29,17 +34,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.work import save
 
-HEAD, PROBES, LAMBDA = 1_000_000, 4, 0.4
-#: Bits that an entry gets at least; tokens counted together; bytes of text scored together; bytes of input for a segment.
-ENTRY_BITS, RUN_TOKENS, RUN_BYTES, SEGMENT_BYTES = 8, 1_500_000, 9 << 20, 8 << 20
+PROBES, LAMBDA = 8, 0.4
+#: Bits for an entry; tokens counted together; bytes of text scored together; bytes of input for a segment, and the most segments.
+ENTRY_BITS, RUN_TOKENS, RUN_BYTES, SEGMENT_BYTES, MOST_SEGMENTS = 16, 1_000_000, 6 << 20, 8 << 20, 1 << 17
+#: Ratio of the levels' bounds, and the bounds themselves.
+RATIO = 1.05
+BOUNDS = np.unique(np.floor(RATIO ** np.arange(int(np.log(2.0**62) / np.log(RATIO)))).astype(np.int64))
 #: No word has white space in it.
 END = b" "
+#: The low half of a hash.
+LOW = np.uint64(0xFFFFFFFF)
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -50,7 +61,8 @@ def scramble(x: np.ndarray) -> np.ndarray:
 
 
 def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return scramble(v * MIX[0] + w)
+    """48 bits, in the high part: of 10**11 pairs, 4 in 10 000 share them with another."""
+    return scramble(v * MIX[0] + w) & ~np.uint64(0xFFFF)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -66,318 +78,294 @@ class WordHashes(dict):
     """word → XXH64, remembered for a bounded number of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
 
+    def of(self, text: str | None) -> np.ndarray:
+        t = tokens(text)
+        return np.fromiter(map(self.__getitem__, t), np.uint64, len(t))
 
-def _add_up(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    if counts is None:
-        return np.unique(keys, return_counts=True)
-    order = np.argsort(keys)
+
+def with_pairs(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words and of the pairs of texts' word hashes, in order; none empty."""
+    w = np.concatenate(texts)
+    v = np.r_[np.uint64(end), w[:-1]]  # a text's last token is the end token, so the next one's first follows it
+    return w, pair_hash(v, w)
+
+
+# ---- packing
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The values' first bytes, then their second ones, and so on, compressed."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 1)
+
+
+def unplanes(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def pack(keys: np.ndarray) -> bytes:
+    """Sorted hashes, as their differences."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(data, np.uint64), dtype=np.uint64)
+
+
+def by_segment(keys: np.ndarray, segments: int) -> Iterator[tuple[int, slice]]:
+    """The segments that sorted hashes fall in, and their parts."""
+    s = segment(keys, segments).astype(np.int64)
+    starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.empty(0, np.int64)
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(s)], strict=False):
+        yield int(s[a]), slice(a, b)
+
+
+# ---- the filter
+
+
+def level_of(counts: np.ndarray) -> np.ndarray:
+    return np.searchsorted(BOUNDS, counts, "right")
+
+
+class Filter:
+    """A segment's part of the log-frequency Bloom filter, for words (n = 1) or pairs (n = 2)."""
+
+    def __init__(self, bits: np.ndarray, size: int):
+        self.bits, self.size = bits, size
+
+    @staticmethod
+    def _start(h: np.ndarray, n: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+        g = scramble(h + np.uint64((level * 4 + n) * int(MIX[0]) % 2**64))
+        return g >> np.uint64(32), (g & LOW) | np.uint64(1)
+
+    @staticmethod
+    def build(h: np.ndarray, n: int, level: np.ndarray) -> Filter:
+        size = min(max(64, -(-int(level.sum()) * ENTRY_BITS // 8) * 8), 1 << 32)
+        bits = np.zeros(size, bool)
+        for q in range(1, int(level.max(initial=0)) + 1):
+            h, level = h[level >= q], level[level >= q]
+            at, step = Filter._start(h, n, q)
+            for _ in range(PROBES):
+                bits[((at & LOW) * np.uint64(size)) >> np.uint64(32)] = True
+                at += step
+        return Filter(np.packbits(bits, bitorder="little"), size)
+
+    def levels(self, h: np.ndarray, n: int) -> np.ndarray:
+        """The last level found of each n-gram, 0 for what isn't found."""
+        out, left, q = np.zeros(len(h), np.uint16), np.arange(len(h)), 0
+        while len(left):
+            q += 1
+            at, step = self._start(h[left], n, q)
+            for _ in range(PROBES):
+                place = ((at & LOW) * np.uint64(self.size)) >> np.uint64(32)
+                hit = ((self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+                left, at, step = left[hit], at[hit], step[hit]
+                at += step
+            out[left] = q
+        return out
+
+
+# ---- training
+
+
+def _add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def runs_of_ngrams(texts: list[list[bytes]], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words and of the pairs of tokenised texts, in order."""
-    w = np.array([hashes[x] for t in texts for x in t], np.uint64)
-    v = np.r_[np.uint64(0), w[:-1]]
-    v[np.r_[0, np.cumsum([len(t) for t in texts])[:-1]]] = np.uint64(hashes[END])
-    return w, pair_hash(v, w)
+def _table(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns.values()], names=list(columns))
 
 
-COUNTS = "n int, seg int, types bigint, total bigint, keys binary, counts binary, size bigint, bits binary"
+COUNTS = "n int, seg int, keys binary, counts binary, levels array<int>, grams array<bigint>, sums array<bigint>, size bigint, bits binary"
 
 
 def count_ngrams(texts: DataFrame, segments: int) -> DataFrame:
     """Words (n = 1) and pairs (n = 2) of ``texts``: a row for each n and segment, with its part of the filter.
 
-    Words' keys and counts are packed as well; pairs need none beside the filter.
+    Words' keys and counts are packed as well, pairs need none beside the filter. Of each level that
+    occurs: the n-grams at it and the sum of their counts.
     """
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        words: list[int] = []
-        ends: list[int] = []
+        hashes, held, size = WordHashes(), [], 0
 
         def flush() -> pa.RecordBatch:
-            w = np.array(words, np.uint64)
-            v = np.r_[np.uint64(0), w[:-1]]
-            v[np.r_[0, np.array(ends[:-1], np.int64)]] = np.uint64(hashes[END])
             cols: list[list] = [[], [], [], []]
-            for n, h in ((1, w), (2, pair_hash(v, w))):
-                k, c = _add_up(h, None)
-                s = segment(k, segments).astype(np.int64)
-                cut = np.searchsorted(s, np.arange(segments + 1))
-                for i in np.flatnonzero(np.diff(cut)):
-                    part = slice(cut[i], cut[i + 1])
-                    for col, x in zip(cols, (n, int(i), k[part].tobytes(), c[part].astype(np.uint32).tobytes()), strict=True):
+            for n, h in enumerate(with_pairs(held, hashes[END]), 1):
+                k, c = np.unique(h, return_counts=True)
+                for i, part in by_segment(k, segments):
+                    for col, x in zip(cols, (n, i, pack(k[part]), planes(c[part].astype(np.uint32))), strict=True):
                         col.append(x)
-            words.clear()
-            ends.clear()
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=["n", "seg", "keys", "counts"])
+            return _table({"n": (cols[0], pa.int32()), "seg": (cols[1], pa.int32()), "keys": (cols[2], pa.binary()), "counts": (cols[3], pa.binary())})
 
         for b in batches:
             for t in b.column(0):
-                words.extend(map(hashes.__getitem__, tokens(t.as_py())))
-                ends.append(len(words))
-                if len(words) >= RUN_TOKENS:
+                held.append(hashes.of(t.as_py()))
+                size += len(held[-1])
+                if size >= RUN_TOKENS:
                     yield flush()
-        if words:
+                    held, size = [], 0
+        if held:
             yield flush()
 
     def add_up(t: pa.Table) -> pa.Table:
         n = t["n"][0].as_py()
-        k, c = _add_up(np.frombuffer(b"".join(t["keys"].to_pylist()), np.uint64), np.frombuffer(b"".join(t["counts"].to_pylist()), np.uint32).astype(np.int64))
-        size = filter_size(c)
-        listed = (k.tobytes(), c.tobytes()) if n == 1 else (b"", b"")
-        return pa.table({"n": [n], "seg": t["seg"][:1], "types": [len(k)], "total": [int(c.sum())], "keys": pa.array(listed[:1], pa.binary()), "counts": pa.array(listed[1:], pa.binary()), "size": [size], "bits": pa.array([Filter.build([(n, k, c)], 1, size)], pa.binary())}).cast(
-            pa.schema([("n", pa.int32()), ("seg", pa.int32()), ("types", pa.int64()), ("total", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("size", pa.int64()), ("bits", pa.binary())])
-        )
+        k, c = _add_up(np.concatenate(list(map(unpack, t["keys"].to_pylist()))), np.concatenate([unplanes(x, np.uint32) for x in t["counts"].to_pylist()]).astype(np.int64))
+        level = level_of(c)
+        f = Filter.build(k, n, level)
+        occurs, at, grams = np.unique(level, return_inverse=True, return_counts=True)
+        sums = np.zeros(len(occurs), np.int64)
+        np.add.at(sums, at, c)
+        exact = (pack(k), planes(c)) if n == 1 else (b"", b"")
+        row = (n, t["seg"][0].as_py(), *exact, occurs.tolist(), grams.tolist(), sums.tolist(), f.size, f.bits.tobytes())
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary())
+        names = [x.split()[0] for x in COUNTS.split(", ")]
+        return pa.Table.from_batches([_table({name: ([x], kind) for name, x, kind in zip(names, row, kinds, strict=True)})])
 
     return texts.select("text").mapInArrow(runs, "n int, seg int, keys binary, counts binary").groupBy("n", "seg").applyInArrow(add_up, COUNTS)
 
 
-def levels(counts: np.ndarray) -> np.ndarray:
-    """floor(log2 c): an n-gram is entered at one level more than that."""
-    return np.frexp(counts.astype(np.float64))[1] - 1
-
-
-def filter_size(counts: np.ndarray) -> int:
-    """Bits for all entries of these counts: the least power of two that gives each ``ENTRY_BITS``."""
-    return 1 << max(6, int((levels(counts) + 1).sum() * ENTRY_BITS - 1).bit_length())
-
+def input_bytes(df: DataFrame) -> int:
+    """Spark's estimate of the size of a scan, from file sizes."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
-class Filter:
-    """The log-frequency Bloom filter: ``segments`` ranges of ``size`` bits (a power of two) each."""
 
-    def __init__(self, segments: int, size: int, bits: np.ndarray | None = None):
-        self.segments, self.size = segments, size
-        self.bits = np.zeros(segments * size // 8, np.uint8) if bits is None else bits
+# ---- scoring
 
-    @staticmethod
-    def positions(h: np.ndarray, n: int, level: int, size: int) -> Iterator[np.ndarray]:
-        """Places of an entry within its segment."""
-        g = scramble(h + np.uint64((level * 4 + n) * int(MIX[0]) % 2**64))
-        step = (g >> np.uint64(32)) | np.uint64(1)
-        for i in range(PROBES):
-            yield (g + np.uint64(i) * step) & np.uint64(size - 1)
 
-    @staticmethod
-    def build(entries: list[tuple[int, np.ndarray, np.ndarray]], least: int, size: int) -> bytes:
-        """A segment's bits from (n, hashes, counts)."""
-        bits = np.zeros(size, bool)
-        for n, h, c in entries:
-            q = np.where(c >= least, levels(c) + 1, 0)
-            for level in range(1, int(q.max(initial=0)) + 1):
-                for p in Filter.positions(h[q >= level], n, level, size):
-                    bits[p] = True
-        return np.packbits(bits, bitorder="little").tobytes()
-
-    def counts(self, h: np.ndarray, n: int) -> np.ndarray:
-        """Counts as entered, sqrt(2) * 2**(level - 1); 0 for what isn't found."""
-        out, at = np.zeros(len(h)), np.arange(len(h))
-        base = segment(h, self.segments) * np.uint64(self.size)
-        level = 0
-        while len(at):
-            level += 1
-            found = np.ones(len(at), bool)
-            for p in self.positions(h[at], n, level, self.size):
-                i = np.flatnonzero(found)
-                place = base[at[i]] + p[i]
-                found[i] = (self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
-            at = at[found]
-            out[at] = 2.0 ** (level - 0.5)
-        return out
+def in_runs(df: DataFrame) -> DataFrame:
+    """Rows (doc_id, text) as (run, data): about ``RUN_BYTES`` of text a run, compressed."""
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, held, size = TaskContext.get().partitionId() << 32, [], 0
 
-class Lookup:
-    """What workers get: the exact counts of frequent words, and the totals."""
-
-    def __init__(self, head: np.ndarray, head_counts: np.ndarray, total: int, types: int):
-        self.head, self.head_counts, self.total, self.types = head, head_counts, total, types
-
-    def exact(self, h: np.ndarray) -> np.ndarray:
-        """Counts of frequent words, -1 for others."""
-        if not len(self.head):
-            return np.full(len(h), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.head, h), len(self.head) - 1)
-        return np.where(self.head[at] == h, self.head_counts[at], -1)
-
-
-class Answers:
-    """What the filter gave back for the n-grams of a run."""
-
-    def __init__(self, t: pa.Table):
-        self.found = {}
-        n = t["n"].to_numpy()
-        for i in (1, 2):
-            some = t.filter(pa.array(n == i))
-            h = np.frombuffer(b"".join(some["keys"].to_pylist()), np.uint64)
-            level = np.frombuffer(b"".join(some["levels"].to_pylist()), np.uint8)
-            order = np.argsort(h)
-            self.found[i] = h[order], level[order]
-
-    def counts(self, h: np.ndarray, n: int) -> np.ndarray:
-        keys, level = self.found[n]
-        q = level[np.searchsorted(keys, h)].astype(np.float64)
-        return np.where(q > 0, 2.0 ** (q - 0.5), 0)
-
-
-def _score(m: Lookup, answers: Answers, hashes: WordHashes, texts: list[str | None]) -> tuple:
-    """Of each text: tokens, known frequent tokens, their part of the base score, the score, hashes of other tokens."""
-    rows = [tokens(t) for t in texts]
-    n = np.fromiter(map(len, rows), np.int64, len(rows))
-    starts = np.r_[0, np.cumsum(n)[:-1]]
-    h, pairs = runs_of_ngrams(rows, hashes)
-    kinds, at = np.unique(h, return_inverse=True)
-    exact, seen = m.exact(kinds)[at], answers.counts(kinds, 1)[at]
-    before = np.r_[0, seen[:-1]]
-    before[starts] = seen[-1]  # the end token, which ends every text
-    space = m.total + m.types + 1
-    known = exact >= 0
-    base = np.add.reduceat(np.where(known, np.log10(np.maximum(exact, 0) + 1), 0), starts)
-    pair = answers.counts(pairs, 2)
-    p = (1 - LAMBDA) * np.minimum(1.0, (seen + 1) / space) + LAMBDA * np.minimum(1.0, np.where(before > 0, pair / np.maximum(before, 1), 0))
-    score = np.add.reduceat(np.log10(p), starts)
-    rest = [x.tolist() for x in np.split(np.where(known, 0, h).view(np.int64), starts[1:])]
-    mask = np.split(known, starts[1:])
-    return n, np.add.reduceat(known.astype(np.int64), starts), base, score, [[x for x, k in zip(r, q, strict=True) if not k] for r, q in zip(rest, mask, strict=True)]
+        def flush() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
+                for b in held:
+                    out.write_batch(b)
+            return _table({"run": ([run], pa.int64()), "data": ([sink.getvalue().to_pybytes()], pa.binary())})
 
+        for b in batches:
+            done = 0
+            for i, t in enumerate(b.column(1), 1):
+                size += len(t.as_buffer()) if t.is_valid else 0
+                if size > RUN_BYTES:
+                    held.append(b.slice(done, i - done))
+                    yield flush()
+                    run, held, size, done = run + 1, [], 0, i
+            if done < len(b):
+                held.append(b.slice(done))
+        if held:
+            yield flush()
 
-def input_bytes(df: DataFrame) -> int:
-    """Spark's estimate of the size of a scan, from file sizes."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(deal, "run bigint, data binary")
+
+
+def run_rows(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
+class Totals:
+    """What workers get: tokens, distinct words, and of words and pairs the count that each level stands for."""
+
+    def __init__(self, rows: list[tuple[int, int, int, int]]):
+        """(n, level, n-grams, sum of counts)"""
+        self.total, self.types = (sum(r[i] for r in rows if r[0] == 1) for i in (3, 2))
+        self.values = {n: np.r_[0.0, BOUNDS.astype(np.float64)] for n in (1, 2)}
+        for n, level, grams, count in rows:
+            self.values[n][level] = count / grams
+
+    def probability(self, before: np.ndarray, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """p(w | v) from the counts of v, w and the pair."""
+        one = (word + 1) / (self.total + self.types + 1)
+        return np.where(before > 0, LAMBDA * np.minimum(1.0, pair / np.maximum(before, 1)) + (1 - LAMBDA) * one, one)
+
+    def score(self, texts: list[np.ndarray], end: int, answers: pa.Table) -> tuple[np.ndarray, ...]:
+        """Of each text (word hashes): tokens, known ones, base score, score. ``answers``: those for the texts' n-grams, by segment."""
+        order = np.lexsort((answers["seg"].to_numpy(), answers["n"].to_numpy()))
+        rows = [(n, answers["levels"][i].as_py(), answers["counts"][i].as_py()) for i, n in zip(order.tolist(), answers["n"].to_numpy()[order].tolist(), strict=True)]
+        level = {n: np.concatenate([unplanes(x, np.uint16) for m, x, _ in rows if m == n]) for n in (1, 2)}
+        exact = np.concatenate([unplanes(x, np.int64) for m, _, x in rows if m == 1])
+        w, pairs = with_pairs(texts, end)
+        kinds, at = np.unique(w, return_inverse=True)
+        pair_kinds, pair_at = np.unique(pairs, return_inverse=True)
+        if (len(kinds), len(pair_kinds)) != (len(level[1]), len(level[2])):
+            raise ValueError("answers don't fit the run's texts")
+        n = np.fromiter(map(len, texts), np.int64, len(texts))
+        starts = np.r_[0, np.cumsum(n)[:-1]]
+        seen = self.values[1][level[1]][at]
+        before = np.r_[self.values[1][level[1]][np.searchsorted(kinds, np.uint64(end))], seen[:-1]]
+        p = self.probability(before, seen, self.values[2][level[2]][pair_at])
+        count = exact[at]
+        base = np.add.reduceat(np.log10((count + 1) / (self.total + self.types + 1)), starts)
+        return n, np.add.reduceat((count > 0).astype(np.int64), starts), base, np.add.reduceat(np.log10(p), starts)
 
 
 class Trained:
-    """Counts in the shared folder, and the broadcast part of the model."""
+    """Counts and filter in the shared folder, and the totals."""
 
-    def __init__(self, texts: DataFrame, size: int, head: int = HEAD):
+    def __init__(self, texts: DataFrame, size: int):
         """``texts``: column text; ``size``: bytes of input, which sets the number of segments."""
-        self.segments = 1 << int(np.clip(np.ceil(np.log2(max(1, size / SEGMENT_BYTES))), 4, 14))
+        self.segments = 1 << int(np.clip(np.ceil(np.log2(max(1, size / SEGMENT_BYTES))), 4, np.log2(MOST_SEGMENTS)))
         self.counts = save(count_ngrams(texts, self.segments), "ngrams")
-
-        def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            by: dict[tuple[int, int], list[int]] = {}
-            for b in batches:
-                for n, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    for x, k in zip(*np.unique(np.frombuffer(c, np.int64), return_counts=True), strict=True):
-                        by[n, int(x)] = by.get((n, int(x)), 0) + int(k)
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in by], pa.int32()), pa.array([c for _, c in by], pa.int64()), pa.array(list(by.values()), pa.int64())], names=["n", "c", "grams"])
-
-        # how many words have each count: its rows are as many as distinct counts
-        tallied = self.counts.where("n = 1").select("n", "counts").mapInArrow(tally, "n int, c bigint, grams bigint").groupBy("n", "c").agg(F.sum("grams").alias("grams")).toPandas()
-        rows = self.counts.where("n = 1").agg(F.sum("types"), F.sum("total")).first()
-        types, total = int(rows[0] or 0), int(rows[1] or 0)
-        words = tallied[tallied["n"] == 1].sort_values("c", ascending=False)
-        fits = words["c"][words["grams"].cumsum() <= head]
-        self.head_least = int(fits.min()) if len(fits) else 1 << 62
-        head_least = self.head_least
-
-        def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    k, c = np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([k[c >= head_least].tobytes()], pa.binary()), pa.array([c[c >= head_least].tobytes()], pa.binary())], names=["head", "head_counts"])
-
-        # at most HEAD words: the bound of what comes to the driver
-        got = self.counts.where("n = 1").select("keys", "counts").mapInArrow(frequent, "head binary, head_counts binary").toArrow()
-        head_keys = np.frombuffer(b"".join(got["head"].to_pylist()), np.uint64)
-        head_counts = np.frombuffer(b"".join(got["head_counts"].to_pylist()), np.int64)
-        order = np.argsort(head_keys)
-        self.lookup = Lookup(head_keys[order], head_counts[order], total, types)
-
-    def rare(self) -> DataFrame:
-        """h, c: every word that isn't broadcast, with its exact count."""
-        least = self.head_least
-
-        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    k, c = np.frombuffer(k, np.int64), np.frombuffer(c, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(k[c < least]), pa.array(c[c < least])], names=["h", "c"])
-
-        return self.counts.where("n = 1").select("keys", "counts").mapInArrow(unpack, "h bigint, c bigint")
+        each = self.counts.select("n", F.inline(F.arrays_zip("levels", "grams", "sums")))
+        # a row for each level that occurs, at most two for each of ``BOUNDS``
+        self.totals = Totals([tuple(r) for r in each.groupBy("n", "levels").agg(F.sum("grams"), F.sum("sums")).collect()])
 
     def score(self, df: DataFrame) -> DataFrame:
         """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of (doc_id, text)."""
-        m, segments = self.lookup, self.segments
-        shared = df.sparkSession.sparkContext.broadcast(m)
-
-        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            part, run, size = TaskContext.get().partitionId() << 32, 0, 0
-            for b in batches:
-                runs = []
-                for t in b.column(1):
-                    size += len(t.as_buffer()) if t.is_valid else 0
-                    runs.append(part | run)
-                    if size > RUN_BYTES:
-                        run, size = run + 1, 0
-                yield pa.RecordBatch.from_arrays([pa.array(runs, pa.int64()), *b.columns], names=["run", "doc_id", "text"])
-
-        dealt = save(df.select("doc_id", "text").mapInArrow(deal, "run bigint, doc_id bigint, text string"), "dealt")
+        segments = self.segments
+        shared = df.sparkSession.sparkContext.broadcast(self.totals)
+        dealt = save(in_runs(df), "dealt")
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, at, held = WordHashes(), None, [[], []]
-
-            def flush() -> pa.RecordBatch:
-                cols: list[list] = [[], [], []]
-                for n, some in enumerate(held, 1):
-                    k = np.unique(np.concatenate(some))
-                    cut = np.searchsorted(segment(k, segments).astype(np.int64), np.arange(segments + 1))
-                    for i in np.flatnonzero(np.diff(cut)):
-                        for col, x in zip(cols, (n, int(i), k[cut[i] : cut[i + 1]].tobytes()), strict=True):
-                            col.append(x)
-                    some.clear()
-                return pa.RecordBatch.from_arrays([pa.array([at] * len(cols[0]), pa.int64()), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["run", "n", "seg", "keys"])
-
+            hashes = WordHashes()
             for b in batches:
-                runs = b.column(0).to_numpy()
-                cuts = np.r_[0, np.flatnonzero(np.diff(runs)) + 1, len(runs)] if len(runs) else []
-                for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                    if at is not None and runs[lo] != at:
-                        yield flush()
-                    at = int(runs[lo])
-                    for i in range(lo, hi, 256):
-                        found = runs_of_ngrams([tokens(t) for t in b.column(1).slice(i, min(256, hi - i)).to_pylist()], hashes)
-                        for some, h in zip(held, found, strict=True):
-                            some.append(np.unique(h))
-            if at is not None:
-                yield flush()
+                for run, data in zip(*b.columns, strict=True):
+                    texts = [hashes.of(t) for t in run_rows(data.as_buffer()).column(1).to_pylist()]
+                    cols: list[list] = [[], [], []]
+                    for n, h in enumerate(with_pairs(texts, hashes[END]), 1):
+                        k = np.unique(h)
+                        for i, part in by_segment(k, segments):
+                            for col, x in zip(cols, (n, i, pack(k[part])), strict=True):
+                                col.append(x)
+                    yield _table({"run": ([run.as_py()] * len(cols[0]), pa.int64()), "n": (cols[0], pa.int32()), "seg": (cols[1], pa.int32()), "keys": (cols[2], pa.binary())})
 
         def answer(asked: pa.Table, part: pa.Table) -> pa.Table:
-            out = []
-            f = Filter(1, part["size"][0].as_py(), np.frombuffer(part["bits"][0].as_py(), np.uint8)) if len(part) else None
-            for n, k in zip(asked["n"].to_pylist(), asked["keys"].to_pylist(), strict=True):
-                seen = f.counts(np.frombuffer(k, np.uint64), n) if f else np.zeros(len(k) // 8)
-                out.append((np.frexp(seen)[1] * (seen > 0)).astype(np.uint8).tobytes())
-            return pa.table({"run": asked["run"], "n": asked["n"], "keys": asked["keys"].cast(pa.binary()), "levels": pa.array(out, pa.binary())})
-
-        asked = dealt.select("run", "text").mapInArrow(ask, "run bigint, n int, seg int, keys binary").groupBy("n", "seg")
-        answers = asked.cogroup(self.counts.select("n", "seg", "size", "bits").groupBy("n", "seg")).applyInArrow(answer, "run bigint, n int, keys binary, levels binary")
+            if not len(asked):
+                return pa.table({"run": pa.array([], pa.int64()), "n": pa.array([], pa.int32()), "seg": pa.array([], pa.int32()), "levels": pa.array([], pa.binary()), "counts": pa.array([], pa.binary())})
+            n = asked["n"][0].as_py()
+            each = [unpack(x.as_buffer()) for x in asked["keys"]]
+            keys = np.unique(np.concatenate(each))  # what many runs ask is looked up once
+            level, exact = np.zeros(len(keys), np.uint16), np.zeros(len(keys), np.int64)
+            if len(part):
+                level = Filter(np.frombuffer(part["bits"][0].as_py(), np.uint8), part["size"][0].as_py()).levels(keys, n)
+                if n == 1:
+                    known, count = unpack(part["keys"][0].as_py()), unplanes(part["counts"][0].as_py(), np.int64)
+                    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                    exact = np.where(known[at] == keys, count[at], 0)
+            places = [np.searchsorted(keys, k) for k in each]
+            levels = [planes(level[i]) for i in places]
+            counts = [planes(exact[i]) if n == 1 else b"" for i in places]
+            return pa.table({"run": asked["run"], "n": asked["n"], "seg": asked["seg"], "levels": pa.array(levels, pa.binary()), "counts": pa.array(counts, pa.binary())})
+
+        asked = dealt.mapInArrow(ask, "run bigint, n int, seg int, keys binary").groupBy("n", "seg")
+        answers = asked.cogroup(self.counts.select("n", "seg", "keys", "counts", "size", "bits").groupBy("n", "seg"))
+        answers = answers.applyInArrow(answer, "run bigint, n int, seg int, levels binary, counts binary")
 
         def run(texts: pa.Table, answered: pa.Table) -> pa.Table:
-            known, hashes, out = Answers(answered), WordHashes(), []
-            names = ["doc_id", "n", "known", "base", "score", "rest"]
-            for at in range(0, len(texts), 256):
-                some = texts.slice(at, 256)
-                n, k, base, score, rest = _score(shared.value, known, hashes, some["text"].to_pylist())
-                out.append(pa.table([some["doc_id"], pa.array(n), pa.array(k), pa.array(base), pa.array(score), pa.array(rest, pa.list_(pa.int64()))], names=names))
-            return pa.concat_tables(out)
-
-        first = dealt.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(run, "doc_id bigint, n bigint, known bigint, base double, score double, rest array<bigint>")
-        first = save(first.withColumn("row", F.monotonically_increasing_id()), "scored")
-        rare = first.select("row", F.explode("rest").alias("h")).join(self.rare(), "h").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("base_more"))
-        out = first.drop("rest").join(rare, "row", "left")
-        return out.select(
-            "doc_id",
-            F.col("n").alias("n_tokens"),
-            (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-            F.lit(m.total).cast("long").alias("train_tokens"),
-            (F.col("base") + F.coalesce("base_more", F.lit(0.0)) - F.col("n") * F.log10(F.lit(float(m.total + m.types + 1)))).alias("base_score"),
-            "score",
-        )
+            hashes, rows = WordHashes(), run_rows(texts["data"][0].as_buffer())
+            n, known, base, score = shared.value.score([hashes.of(t) for t in rows.column(1).to_pylist()], hashes[END], answered)
+            return pa.table({"doc_id": rows.column(0), "n_tokens": n, "n_known": known, "base_score": base, "score": score})
+
+        scored = dealt.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(run, "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+        return scored.select("doc_id", "n_tokens", "n_known", F.lit(self.totals.total).cast("long").alias("train_tokens"), "base_score", "score")
