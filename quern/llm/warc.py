@@ -3,14 +3,19 @@
 The writer puts a record for each page into archives in a folder that all executors share, one archive
 a task, under a fresh name for each attempt: only archives that a finished task reports are read.
 
-The reader walks an archive's members (or plain records). Each record is checked: gzip's own checks,
-version line, headers, length, the closing blank lines, the block's and the payload's digest. After a
-failed check it searches for the next gzip magic or version line at which a record passes all checks,
-goes on from there, and logs the bytes between as a quarantined gap. An archive is one task's work;
-its memory is bounded by the largest record, not by the archive.
+The reader walks an archive's gzip members (of one record or many) and plain records. A member is
+inflated step by step and its records are given out as they pass. Each record is checked: version line,
+headers, length, the closing blank lines, the block's and the payload's digest. After a failed check the
+reader searches the inflated bytes for the next version line at which a record passes all checks. Where
+inflating itself fails or the member is cut, what was inflated before is kept, and the search goes on in
+the file for the next gzip magic or version line. The bytes between are logged as quarantined gaps, in
+the file or within a member. An archive is one task's work; its memory is bounded by the largest record,
+not by the member or the archive: a length is believed only if the blank lines stand where it ends, which
+is looked up without keeping the bytes before.
 
 Defined results: null html counts as empty; null urls leave the header out; null page_ids are kept as
-null; rows with the same page_id and payload are records of their own and of one kind.
+null and revisit the smallest page_id that has their payload, if there is one; rows with the same page_id
+and payload are records of their own and of one kind; records written and not read back are an error.
 """
 
 from __future__ import annotations
@@ -30,10 +35,9 @@ from pyspark.sql import functions as F
 from quern.llm.work import new_path, save
 
 LEAST_SHARED = 100
-LEVEL, BLOCK = 3, 1 << 18
+LEVEL, BLOCK = 3, 1 << 16
 VERSION = regex.compile(rb"WARC/\d+\.\d+\r\n")
 START = regex.compile(rb"\x1f\x8b\x08|WARC/\d+\.\d+\r\n")
-MOST_HEADER = 1 << 20
 
 
 class Damaged(Exception):
@@ -70,8 +74,10 @@ def classify(pages: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
     """Adds digest and refers_to: of equal payloads of at least ``least`` bytes all but those of the smallest page_id refer to it."""
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    first = pages.select("page_id", F.coalesce("html", F.lit("")).alias("html")).where(F.octet_length("html") >= least).groupBy(F.sha2(F.col("html").cast("binary"), 256).alias("digest")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    return p.join(first, "digest", "left").select("page_id", "url", "html", "digest", F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("first")), F.col("first")).alias("refers_to"))
+    shared = p.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    shared = shared.where("n > 1").select("digest", "first")
+    later = F.col("page_id").isNull() | (F.col("page_id") > F.col("first"))
+    return p.join(shared, "digest", "left").select("page_id", "url", "html", "digest", F.when(later, F.col("first")).alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
@@ -116,6 +122,59 @@ class Source:
             self.at, self.data = at, self.file.read_at(want, at)
         return self.data[at - self.at : at - self.at + n]
 
+    peek = read
+
+
+class Member:
+    """The inflated bytes of the gzip member at ``start``, read forwards: what lies before ``drop`` is gone."""
+
+    def __init__(self, source: Source, start: int):
+        self.source, self.start = source, start
+        self.z, self.raw = zlib.decompressobj(31), start
+        self.at, self.data = 0, bytearray()
+        #: why the bytes end before the member does; None for a sound member
+        self.fault: str | None = None
+
+    def _inflate(self, z, raw: int) -> tuple[object, int, bytes, str | None]:
+        """Inflates one step on: state and place in the file after it, the bytes, and a fault if that is the end of them."""
+        feed, before = self.source.read(raw, BLOCK), z.copy()
+        try:
+            out = z.decompress(feed, BLOCK)
+        except zlib.error as e:
+            # byte by byte, to keep all that precedes the fault
+            out, i = bytearray(), 0
+            for i in range(len(feed)):
+                try:
+                    out += before.decompress(feed[i : i + 1])
+                except zlib.error:
+                    break
+            return before, raw + i, bytes(out), f"gzip: {e}"
+        used = len(feed) - len(z.unused_data if z.eof else z.unconsumed_tail)
+        return z, raw + used, out, None if feed or out or z.eof else "member cut short"
+
+    def read(self, at: int, n: int) -> bytes:
+        while self.at + len(self.data) < at + n and not (self.z.eof or self.fault):
+            self.z, self.raw, out, self.fault = self._inflate(self.z, self.raw)
+            self.data += out
+        return bytes(self.data[at - self.at : at - self.at + n])
+
+    def peek(self, at: int, n: int) -> bytes:
+        """The same without keeping what lies between."""
+        if self.z.eof or self.fault or at + n <= self.at + len(self.data):
+            return self.read(at, n)
+        z, raw, fault = self.z.copy(), self.raw, self.fault
+        end, tail = self.at + len(self.data), bytes(self.data[-n:])
+        while end < at + n and not (z.eof or fault):
+            z, raw, out, fault = self._inflate(z, raw)
+            end, tail = end + len(out), (tail + out)[-n - len(out) :]
+        first = at - (end - len(tail))
+        return tail[first : first + n] if 0 <= first else b""
+
+    def drop(self, before: int) -> None:
+        gone = min(before - self.at, len(self.data))
+        del self.data[:gone]
+        self.at += gone
+
 
 def check_digest(value: str | None, data: bytes, what: str) -> None:
     """sha256 and sha1, in hexadecimal; other algorithms pass."""
@@ -124,14 +183,14 @@ def check_digest(value: str | None, data: bytes, what: str) -> None:
         raise Damaged(f"{what} digest differs")
 
 
-def parse(source: Source, at: int) -> tuple[dict[str, str], bytes, int]:
-    """The plain record at ``at``: headers (names in lower case), payload, end."""
+def parse(source: Source | Member, at: int) -> tuple[dict[str, str], bytes, int]:
+    """The record at ``at``: headers (names in lower case), payload, end."""
     start = source.read(at, 16)
     if not (m := VERSION.match(start)):
         raise Damaged("no version line")
-    head, n = b"", 4096
+    n = 4096
     while (end := (head := source.read(at, n)).find(b"\r\n\r\n")) < 0:
-        if n >= MOST_HEADER or len(head) < n:
+        if len(head) < n:
             raise Damaged("no end of headers")
         n *= 4
     headers = {}
@@ -144,11 +203,9 @@ def parse(source: Source, at: int) -> tuple[dict[str, str], bytes, int]:
     if not length.isascii() or not length.isdigit():
         raise Damaged("no content length")
     body = at + end + 4
-    if body + int(length) + 4 > source.size:
-        raise Damaged("cut short")
+    if source.peek(body + int(length), 4) != b"\r\n\r\n":
+        raise Damaged("cut short, or no blank lines after the block")
     block = source.read(body, int(length))
-    if source.read(body + len(block), 4) != b"\r\n\r\n":
-        raise Damaged("no blank lines after the block")
     check_digest(headers.get("warc-block-digest"), block, "block")
     payload = block
     if headers.get("content-type", "").startswith("application/http"):
@@ -176,78 +233,124 @@ class _Memory:
         return self.data[at : at + n]
 
 
-def member(source: Source, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
-    """The records of what starts at ``at``, a gzip member or a plain record, and its end."""
-    if source.read(at, 2) != b"\x1f\x8b":
-        headers, payload, end = parse(source, at)
-        return [(headers, payload)], end
-    z, raw, end = zlib.decompressobj(31), [], at
-    while not z.eof:
-        data = source.read(end, BLOCK)
-        if not data:
-            raise Damaged("member cut short")
+def walk(source: Member) -> Iterator[tuple]:
+    """("record", start, end, headers, payload) and ("gap", start, end, reason), by inflated places."""
+    here = 0
+    while source.read(here, 1):
         try:
-            raw.append(z.decompress(data))
-        except zlib.error as e:
-            raise Damaged(f"gzip: {e}") from e
-        if len(raw) == 1 and not VERSION.match(raw[0][:16]) and len(raw[0]) >= 16:
-            raise Damaged("member without a record")
-        end += len(data)
-    end -= len(z.unused_data)
-    inner = Source(_Memory(b"".join(raw)), sum(map(len, raw)))
-    out, here = [], 0
-    while here < inner.size:
-        headers, payload, here = parse(inner, here)
-        out.append((headers, payload))
-    if not out:
-        raise Damaged("empty member")
-    return out, end
+            headers, payload, end = parse(source, here)
+        except Damaged as e:
+            end = _next_record(source, here + 1)
+            yield "gap", here, end, str(e)
+        else:
+            yield "record", here, end, headers, payload
+        here = end
+        source.drop(here)
+
+
+def _next_record(source: Member, at: int) -> int:
+    """Of inflated bytes the next version line from which a record passes, or the end."""
+    while data := source.read(at, BLOCK):
+        m = VERSION.search(data)
+        if m:
+            at += m.start()
+            try:
+                parse(source, at)
+                return at
+            except Damaged:
+                at += 1
+        elif len(data) < BLOCK:
+            return at + len(data)
+        else:
+            at += len(data) - 16
+        source.drop(at)
+    return at
+
+
+def _next_start(source: Source, at: int, known: set) -> int:
+    """Of a file the next gzip magic or version line from which a record passes that isn't ``known``, or the end."""
+    while at < source.size:
+        data = source.read(at, BLOCK)
+        m = START.search(data)
+        if not m:
+            at += len(data) if at + len(data) >= source.size else max(1, len(data) - 16)
+            continue
+        at += m.start()
+        if m[0][:1] == b"\x1f":
+            if source.read(at, 3) and any(kind == "record" for kind, *_ in walk(Member(source, at))):
+                return at
+            at += 1
+        else:
+            try:
+                headers, payload, end = parse(source, at)
+            except Damaged:
+                at += 1
+            else:
+                if _name(headers, payload) not in known:
+                    return at
+                at = end
+    return source.size
+
+
+def _name(headers: dict[str, str], payload: bytes) -> bytes:
+    return hashlib.sha256(repr(sorted(headers.items())).encode() + payload).digest()
 
 
 def salvage(source: Source) -> Iterator[tuple]:
-    """("record", at, end, headers, payload) and ("gap", at, end, reason) in the order of the file."""
+    """("record", start, end, inner, headers, payload) and ("gap", start, end, inner, reason) in the order of the file.
+
+    start, end: places in the file, for a record in a gzip member the member's start and how far it was read;
+    inner: for a gzip member the place in the inflated bytes, for a gap all from there on or up to the next record.
+    """
     at = 0
     while at < source.size:
-        try:
-            records, end = member(source, at)
-        except Damaged as e:
-            end, found = at + 1, None
-            while found is None and end < source.size:
-                data = source.read(end, BLOCK)
-                m = START.search(data)
-                if not m:
-                    end += max(1, len(data) - 16) if end + len(data) < source.size else len(data)
-                    continue
-                end += m.start()
-                try:
-                    found = member(source, end)
-                except Damaged:
-                    end += 1
-            yield "gap", at, end, str(e)
+        if source.read(at, 2) != b"\x1f\x8b":
+            try:
+                headers, payload, end = parse(source, at)
+            except Damaged as e:
+                end = _next_start(source, at + 1, set())
+                yield "gap", at, end, None, str(e)
+            else:
+                yield "record", at, end, None, headers, payload
             at = end
-            if found is None:
+            continue
+        m, known, lost, last = Member(source, at), set(), None, 0
+        for kind, start, end, *what in walk(m):
+            if kind == "gap":
+                lost = start, what[0]
                 continue
-            records, end = found
-        for headers, payload in records:
-            yield "record", at, end, headers, payload
+            if lost:
+                yield "gap", at, m.raw, *lost
+                lost = None
+            known.add(_name(*what))
+            last = end
+            yield "record", at, m.raw, start, *what
+        if known and not m.fault:
+            if lost:
+                yield "gap", at, m.raw, *lost
+            at = m.raw
+            continue
+        # a stored block of a broken member shows its records in the file as well: those given out are known
+        end = _next_start(source, at + 1 if m.fault else m.raw, known)
+        yield "gap", at, end, last if known else None, m.fault or (lost[1] if lost else "member without a record")
         at = end
 
 
-READ = "kind string, path string, start bigint, end bigint, reason string, headers map<string,string>, payload binary"
+READ = "kind string, path string, start bigint, end bigint, inner bigint, reason string, headers map<string,string>, payload binary"
 
 
 def read(paths: DataFrame) -> DataFrame:
     """``paths``: column path → a row for each record (kind 'record') and each gap (kind 'gap'), as READ has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("kind", pa.string()), ("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("reason", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
+        schema = pa.schema([("kind", pa.string()), ("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("inner", pa.int64()), ("reason", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
         for b in batches:
             for path in b.column(0).to_pylist():
                 fs, at = pa.fs.FileSystem.from_uri(path)
                 rows, size = [], 0
                 with fs.open_input_file(at) as f:
-                    for kind, start, end, what, *payload in salvage(Source(f, f.size())):
-                        rows.append((kind, path, start, end, *((None, list(what.items()), payload[0]) if payload else (what, None, None))))
+                    for kind, start, end, inner, what, *payload in salvage(Source(f, f.size())):
+                        rows.append((kind, path, start, end, inner, *((None, list(what.items()), payload[0]) if payload else (what, None, None))))
                         size += len(payload[0]) if payload else 0
                         if size > 8_000_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
@@ -259,28 +362,37 @@ def read(paths: DataFrame) -> DataFrame:
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, as read back from the archives."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, as read back from the archives.
+
+    Raises, with the quarantined gaps, where an archive gives back other than the records written to it.
+    """
     archives = write(pages, new_path(spark, "warc"))
-    records = read(archives.select("path").repartition(max(1, archives.count()))).where("kind = 'record'")
     h = lambda name: F.col("headers")[name]
     page = lambda name: F.nullif(F.regexp_extract(h(name), "<urn:page:(-?[0-9]*)>", 1), F.lit("")).cast("long")
-    return records.select(
+    back = read(archives.select("path").repartition(max(1, archives.count()))).select(
+        "kind",
+        "path",
+        F.when(F.col("kind") == "gap", F.concat_ws(" ", "start", "end", "inner", "reason")).alias("gap"),
         page("warc-record-id").alias("page_id"),
+        F.coalesce(h("http-length").cast("long"), F.octet_length("payload").cast("long")).alias("payload_bytes"),
+        F.substring_index(h("warc-payload-digest"), ":", -1).alias("payload_digest"),
         h("warc-type").alias("record_type"),
         F.when(h("warc-type") == "revisit", page("warc-refers-to")).alias("refers_to"),
-        F.substring_index(h("warc-payload-digest"), ":", -1).alias("payload_digest"),
-        F.octet_length("payload").cast("long").alias("own_bytes"),
-        h("http-length").cast("long").alias("http_length"),
-    ).select("page_id", F.coalesce("http_length", "own_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    )
+    back = save(back, "read")
+    found = back.groupBy("path").agg(F.count_if(F.col("kind") == "record").alias("found"), F.min("gap").alias("gap"))
+    wrong = archives.join(found, "path", "left").where("found IS NULL OR found <> records OR gap IS NOT NULL")
+    if lost := wrong.select("path", "records", "found", "gap").head(20):
+        raise ValueError(f"records written and read back differ: {lost}")
+    return back.where("kind = 'record'").drop("kind", "path", "gap")
 
 
 #: DuckDB SQL for the columns of the query.
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
 d AS (SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, sha256(t) AS payload_digest FROM p),
-f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
-SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
-FROM f
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d),
+r AS (SELECT *, payload_bytes >= 100 AND first IS NOT NULL AND (page_id IS NULL OR page_id > first) AS again FROM f)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to
+FROM r
 """
