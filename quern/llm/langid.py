@@ -9,8 +9,9 @@ code length under a language is exact. The shortest code wins; the score is its
 under equal priors.
 
 Learning uses a bounded sample of labelled rows: ``DOCS_PER_LANGUAGE`` rows of each language at most (in
-expectation), chosen by hash. ``CELLS`` bounds the cost table that is broadcast: contexts are kept from
-the most frequent down. Whole texts are scored.
+expectation), chosen by hash. Every n-gram of the sample counts, those seen once too. ``CELLS`` bounds the
+cost table that is broadcast: where the sample has more contexts than fit, they are kept from the most
+frequent down. Whole texts are scored.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as is every text when
 there is nothing to learn from; ties go to the language that sorts first; rows with null doc_id are
@@ -26,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEPTH, DOCS_PER_LANGUAGE, CELLS, LEAST_COUNT = 3, 1500, 12_000_000, 3
+from quern.llm.work import save
+
+DEPTH, DOCS_PER_LANGUAGE, CELLS = 3, 1500, 12_000_000
 #: Bytes scored together.
 BATCH_BYTES = 2_000_000
 
@@ -63,10 +66,11 @@ def count_grams(labelled: DataFrame, depth: int = DEPTH) -> DataFrame:
 class Model:
     """Frozen trees of all languages in one table: bits of (context, symbol) for each language.
 
-    ``counts``: (lang, n, gram, count) arrays. Context 0 is the unknown one, 1 the empty one.
+    (lang, n, gram, count): arrays of all n-grams of contexts that occur ``least`` times or more. Context 0
+    is the unknown one, 1 the empty one.
     """
 
-    def __init__(self, langs: list[str], lang: np.ndarray, n: np.ndarray, gram: np.ndarray, count: np.ndarray, depth: int = DEPTH, cells: int = CELLS):
+    def __init__(self, langs: list[str], lang: np.ndarray, n: np.ndarray, gram: np.ndarray, count: np.ndarray, depth: int = DEPTH, least: int = 1):
         self.langs, self.depth = langs, depth
         seen = np.unique(gram[n == 1])
         self.code = np.full(256, len(seen), np.int64)
@@ -75,15 +79,9 @@ class Model:
         #: byte values that the last symbol, never seen, stands for
         other = 256 - len(seen)
         nodes: list[np.ndarray] = [np.zeros(1, np.int64)]  # of each depth the packed contexts, sorted
-        spare = cells // (a * max(1, len(langs))) - 2
-        found = []
         for d in range(1, depth + 1):
             g, at = np.unique(gram[n == d], return_inverse=True)
-            total = np.bincount(at, count[n == d], len(g))
-            found.append((g, total))
-        totals = np.sort(np.concatenate([t for _, t in found]))[::-1] if found else np.empty(0)
-        least = max(LEAST_COUNT, totals[spare] + 1 if len(totals) > spare else 0)
-        nodes += [g[t >= least] for g, t in found]
+            nodes.append(g[np.bincount(at, count[n == d], len(g)) >= least])
         self.first = np.cumsum([1, *map(len, nodes)])  # of each depth the number of its first context
         size = int(self.first[-1])
         self.step = np.zeros((size, a), np.int32)
@@ -151,9 +149,24 @@ def fit(labelled: DataFrame, depth: int = DEPTH, docs_per_language: int = DOCS_P
     sample = rows.where(chance < share[F.col("lang")])
     langs = sorted(sizes)
     number = F.create_map(*[x for i, lang in enumerate(langs) for x in (F.lit(lang), F.lit(i))])
-    t = count_grams(sample, depth).where((F.col("n") <= 2) | (F.col("count") >= 2)).select(number[F.col("lang")].alias("lang"), "n", "gram", "count").toArrow()
+    grams = save(count_grams(sample, depth).withColumn("lang", number[F.col("lang")]), "grams")
+    grams, least = bounded(grams, len(langs), depth, cells)
+    t = grams.select("lang", "n", "gram", "count").toArrow()
     lang, n, gram, count = (t.column(i).to_numpy() for i in range(4))
-    return Model(langs, lang, n, gram, count.astype(np.float64), depth, cells) if len(n) else None
+    return Model(langs, lang, n, gram, count.astype(np.float64), depth, least) if len(n) else None
+
+
+def bounded(grams: DataFrame, langs: int, depth: int, cells: int) -> tuple[DataFrame, int]:
+    """The n-grams of the most frequent contexts, as many as ``cells`` costs allow, and the least count of those contexts."""
+    contexts = grams.where(F.col("n") <= depth).groupBy("n", "gram").agg(F.sum("count").alias("total"))
+    symbols = 1 + grams.where("n = 1").select("gram").distinct().count()
+    past = contexts.orderBy(F.desc("total")).offset(max(0, cells // (symbols * langs) - 2)).limit(1).collect()
+    if not past:
+        return grams, 1
+    least = past[0]["total"] + 1
+    kept = contexts.where(F.col("total") >= least).select((F.col("n") + 1).alias("n"), F.col("gram").alias("context"))
+    longer = grams.where("n > 1").withColumn("context", F.shiftright("gram", 8)).join(kept, ["n", "context"], "left_semi")
+    return grams.where("n = 1").unionByName(longer.drop("context")), least
 
 
 def predict(df: DataFrame, model: Model | None) -> DataFrame:
