@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.work import WORD, save
+from quern.llm.work import WORD, free, save
 
 RANGE_HEX = 3
 
@@ -49,9 +49,13 @@ def targets(per_source: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: i
     return s.select("source", "source_size", "weight", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
+def _key(doc_id: Column) -> Column:
+    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")))
+
+
 def mix(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, and the row's whole epochs and words of the last pass."""
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = _key(F.col("doc_id"))
     base = save(df.select("doc_id", "source", text_size(F.col("text")).alias("size"), key.alias("key"), F.substring(key, 1, RANGE_HEX).alias("range")), "mix")
     ranges = base.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     up = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
@@ -70,12 +74,19 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> D
 def mixed_documents(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
     """The mix as rows of ``df``: a row for each epoch that takes it, the row at the cut whole.
 
-    Rows of size 0 count as taken once for each whole epoch and stay in the last pass if they lie before the cut.
-    Rows with the same doc_id share one plan, the largest.
+    Of each source only its whole epochs and the key at which its last pass is cut are joined to the rows,
+    so no text is moved while that table is small enough for Spark to broadcast it. Rows of size 0 count as
+    taken once for each whole epoch and stay in the last pass if they lie before the cut. Rows with the
+    same source and doc_id share one plan.
     """
-    plan = mix(df, weights, most).groupBy("doc_id").agg(F.max(F.col("epochs") + F.col("in_last_pass").cast("long")).alias("__times"))
-    out = df.alias("d").join(plan.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))).select("d.*", "p.__times")
-    return out.where("__times > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).drop("__times", "__epoch")
+    cut = F.max(F.when(F.col("in_last_pass"), _key(F.col("doc_id"))))
+    plan = mix(df, weights, most).groupBy("source").agg(F.max("epochs").alias("epochs"), cut.alias("cut"))
+    name = {x: free(df, f"__{x}") for x in ("source", "epochs", "cut", "epoch")}
+    plan = save(plan, "plan").select(*[F.col(x).alias(name[x]) for x in ("source", "epochs", "cut")])
+    out = df.join(plan, df["source"].eqNullSafe(plan[name["source"]]))
+    times = F.col(name["epochs"]) + F.coalesce((_key(F.col("doc_id")) <= F.col(name["cut"])).cast("int"), F.lit(0))
+    out = out.where(times > 0).withColumn(name["epoch"], F.explode(F.sequence(F.lit(1), times.cast("int"))))
+    return out.select(*[f"`{c}`" for c in df.columns])
 
 
 #: DuckDB SQL for the columns of the query.
