@@ -226,19 +226,26 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, .
     return df.select(*[f"`{c}`" for c in keep], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, schema)
 
 
-def encode_digests(df: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, n_tokens, and the digests of the ids and of the text decoded from them, of every row."""
+def encode_digests(df: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, and the digests of the ids and of the text decoded from them, of every row; ``ids`` as well if wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer)
         for b in batches:
-            n, ids_sha, text_sha = [], [], []
+            n, ids_sha, text_sha, ids = [], [], [], []
             for texts in _slices(b.column(1)):
                 for e in c.encode_batch(texts):
                     n.append(e.count(b","))
                     ids_sha.append(hashlib.sha256(e[:-1]).hexdigest())
                     text_sha.append(hashlib.sha256(c.decode_text(e).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    if with_ids:
+                        ids.append(np.fromstring(e[:-1], np.int32, sep=","))
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            if with_ids:
+                names, columns = [*names, "ids"], [*columns, pa.array(ids, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
         c.forget()
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return df.select("doc_id", "text").mapInArrow(run, schema)

@@ -71,7 +71,7 @@ def fingerprints(df: DataFrame, k: int = K) -> DataFrame:
     The edited text swaps the last third for the start of the next row's text. Rows are dealt to
     ranges of doc_id; the first row of a range goes to the range before it as well, and the first of
     all goes to the last range, so each range finds its rows' successors alone and the text moves once.
-    Equal doc_ids are ordered by their text's hash; null doc_ids come last.
+    Equal doc_ids are ordered by their text's hash; null doc_ids come last. Rows of one doc_id lie in one range.
     """
     n, *_ = df.agg(F.count("*")).first()
     ranges = int(min(MOST_RANGES, max(8, n // RANGE_ROWS)))
@@ -108,5 +108,6 @@ def fingerprints(df: DataFrame, k: int = K) -> DataFrame:
         to_text(F.col("edited_fp")).alias("edited_fingerprint"),
         resemblance(F.col("fp"), F.col("edited_fp"), k).alias("near_edited"),
         resemblance(F.col("fp"), F.col("next_fp"), k).alias("near_next"),
+        containment(F.col("fp"), F.col("edited_fp"), k).alias("contained_in_edited"),
         distinct_count(F.col("fp"), k).alias("distinct_shingles"),
     )
