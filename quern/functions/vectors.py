@@ -6,13 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
 def total(c: Column) -> Column:
     return F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double"))
 
 
+def squared_distance(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+
+
 def distance(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
+    return F.sqrt(squared_distance(a, b))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -57,9 +60,15 @@ def blend(a: Column, b: Column, wa: Column, wb: Column) -> Column:
     return wa * F.coalesce(a, F.lit(0.0)) + wb * F.coalesce(b, F.lit(0.0))
 
 
-def grid_stats(grid: Column) -> Column:
-    """Mean, population std, min, max of array<array<double>>."""
-    flat = F.flatten(grid)
-    n = F.size(flat)
-    mean = total(flat) / n
-    return F.struct(mean.alias("mean"), F.sqrt(F.aggregate(flat, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n).alias("std"), F.array_min(flat).alias("min"), F.array_max(flat).alias("max"))
+def plane_normal(a: Column, b: Column, c: Column) -> Column:
+    """Unit normal of the plane of three points; z where they lie in line."""
+    n = cross(minus(b, a), minus(c, a))
+    size = F.sqrt(dot(n, n))
+    return F.when(size < 1e-10, F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0))).otherwise(F.transform(n, lambda x: x / size))
+
+
+def determinant_stats(d: Column) -> Column:
+    """Struct mean, largest by absolute value (the first of equals), and sum of absolute values of signed volumes; 0 of none."""
+    far = F.aggregate(d, F.lit(0.0), lambda a, x: F.when(F.abs(x) > F.abs(a), x).otherwise(a))
+    mean = F.when(F.size(d) > 0, total(d) / F.size(d)).otherwise(F.lit(0.0))
+    return F.struct(mean.alias("mean"), far.alias("largest"), total(F.transform(d, F.abs)).alias("abs_sum"))

@@ -1,22 +1,37 @@
-"""Weighted ensembles, neighbours and graphs."""
+"""Weighted ensembles, neighbours, clusters and message passing."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import product
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions.vectors import distance
+from quern.sources.scratch import save
 
+#: Queries of a neighbour search that are broadcast together.
+CHUNK = 20_000
 #: Fixed value: kT in kcal/mol at 298 K.
 KT = 0.5922
 
 
 def boltzmann(df: DataFrame, group: str, energy: str, kt: float = KT) -> DataFrame:
-    """Adds ``weight``: exp(-(e - lowest) / kt), normed to 1 in each group. Two aggregates of a group joined back, no window buffer."""
-    low = df.groupBy(group).agg(F.min(energy).alias("__low"))
-    w = df.join(low, group).withColumn("__w", F.exp(-(F.col(energy) - F.col("__low")) / kt))
-    return w.withColumn("weight", F.col("__w") / F.sum("__w").over(W.partitionBy(group))).drop("__low", "__w")
+    """Adds ``weight``: exp(-(e - lowest) / kt), normed to 1 in each group. Two windows over one partitioning: one shuffle."""
+    w = W.partitionBy(group)
+    e = df.withColumn("__w", F.exp(-(F.col(energy) - F.min(energy).over(w)) / kt))
+    return e.withColumn("weight", F.col("__w") / F.sum("__w").over(w)).drop("__w")
+
+
+def lowest(df: DataFrame, group: list[str], energy: str, key: str) -> DataFrame:
+    """The member of each group with the least energy, ties to the smallest key."""
+    rest = [c for c in df.columns if c not in (*group, energy, key)]
+    m = df.where(F.col(energy).isNotNull()).groupBy(*group).agg(F.min(F.struct(energy, key, *rest)).alias("m"))
+    return m.select(*group, "m.*").select(*df.columns)
 
 
 def weighted_stats(df: DataFrame, group: str, value: str, weight: str) -> DataFrame:
@@ -28,16 +43,55 @@ def weighted_stats(df: DataFrame, group: str, value: str, weight: str) -> DataFr
     return a.where("w > 0").select(group, (mean + F.col("s")).alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("wxx") / F.col("w") - mean * mean)).alias("std"))
 
 
-def neighbours(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """Exact k nearest rows of each query (never itself): query, key, distance, rank.
+def neighbours(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, chunk: int = CHUNK) -> DataFrame:
+    """Exact k nearest rows of each query (never a row with its key): query, key, distance, rank; ties to the smallest key.
 
-    Each task keeps k candidates of a query before the shuffle (a partial top-k by min_by on packed
-    structs isn't built in, so rows are first cut by partition), queries being a stated, bounded set.
+    Queries go out in chunks of ``chunk`` by hash, which bounds each broadcast. A task compares its rows with
+    them block by block, by matrix products, keeps k of each query, and computes those distances exactly.
+    Vectors are not null and of one length.
     """
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("__q"))
-    d = rows.select(key, vector).join(F.broadcast(q), F.col(key) != F.col("query")).select("query", key, distance(F.col("__q"), F.col(vector)).alias("distance"))
+    asked = queries.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias("v"))
+    every = rows.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias("v"))
+    chunks = max(1, -(-asked.count() // chunk))
+    out = None
+    for c in range(chunks):
+        t = asked.where(F.pmod(F.xxhash64(key), F.lit(chunks)) == c).toPandas()
+        part = _nearest(every, key, t[key].to_numpy(np.int64), np.array(t["v"].tolist(), np.float64), k)
+        out = part if out is None else out.unionByName(save(part, "nearest") if chunks > 1 else part)
     order = W.partitionBy("query").orderBy("distance", key)
-    return d.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _nearest(rows: DataFrame, key: str, ids: np.ndarray, vectors: np.ndarray, k: int) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast((ids, vectors))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        best_id, best = np.full((len(ids), 0), -1, np.int64), np.full((len(ids), 0), np.inf)
+        for b in batches:
+            for at in range(0, len(b) if len(ids) else 0, 4096):
+                part = b.slice(at, 4096)
+                name = part.column(0).to_numpy()
+                x = part.column(1).flatten().to_numpy().reshape(len(name), -1)
+                near = (x * x).sum(1) + (q * q).sum(1)[:, None] - 2 * q @ x.T
+                near[ids[:, None] == name] = np.inf
+                # a few more than k by the rounded distance, then exactly
+                top = np.argpartition(near, min(k + 8, len(name)) - 1, axis=1)[:, : k + 8]
+                d = np.sqrt(((x[top] - q[:, None, :]) ** 2).sum(2))
+                d[np.isinf(np.take_along_axis(near, top, 1))] = np.inf
+                best_id, best = np.concatenate([best_id, name[top]], 1), np.concatenate([best, d], 1)
+                order = np.lexsort((best_id, best), axis=1)[:, :k]
+                best_id, best = np.take_along_axis(best_id, order, 1), np.take_along_axis(best, order, 1)
+        found = np.isfinite(best)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, found.sum(1))), pa.array(best_id[found]), pa.array(best[found])], names=["query", key, "distance"])
+
+    return rows.mapInArrow(run, f"query bigint, `{key}` bigint, distance double")
+
+
+def vote(found: DataFrame, labelled: DataFrame, key: str, label: str) -> DataFrame:
+    """query, y_pred: the commonest label among each query's neighbours, ties to the smallest."""
+    c = found.join(labelled.select(key, label), key).groupBy("query", label).agg(F.count("*").alias("c"))
+    return c.groupBy("query").agg(F.min(F.struct((-F.col("c")).alias("k"), F.col(label).alias("l"))).alias("m")).select("query", F.col("m.l").alias("y_pred"))
 
 
 def centroids(df: DataFrame, category: str, vector: str) -> DataFrame:
@@ -52,35 +106,17 @@ def centroid_distances(df: DataFrame, category: str, vector: str) -> DataFrame:
     return a.join(b, "pos").where("a < b").groupBy("a", "b").agg(F.sqrt(F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y")))).alias("distance"))
 
 
-def pairs_within(df: DataFrame, group: str, key: str, vector: str, radius: float) -> DataFrame:
-    """Pairs of a group at ``radius`` or less: a self join on the group, then the distance."""
-    a = df.select(group, F.col(key).alias("i"), F.col(vector).alias("x"))
-    b = df.select(group, F.col(key).alias("j"), F.col(vector).alias("y"))
-    return a.join(b, group).where("i < j").select(group, "i", "j", distance(F.col("x"), F.col("y")).alias("distance")).where(F.col("distance") <= radius)
-
+def pairs_within(df: DataFrame, group: str, key: str, vector: str, radius: float, axes: int = 2) -> DataFrame:
+    """Pairs of a group at ``radius`` or less.
 
-def bfs(edges: DataFrame, start: DataFrame, depth: int, blocked: DataFrame | None = None) -> DataFrame:
-    """node, dist of everything within ``depth`` steps of ``start`` (column node), blocked nodes left out.
-
-    The loop is bounded by ``depth``; each step is a join of the frontier with the edges and an anti join with what is known.
+    The first ``axes`` components cut space into cells as wide as the radius. A row meets the rows of its own
+    and the adjoining cells only; the distance decides.
     """
-    known = start.select("node").distinct().withColumn("dist", F.lit(0))
-    frontier = known
-    for d in range(1, depth + 1):
-        nxt = frontier.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node")).distinct().join(known, "node", "left_anti")
-        if blocked is not None:
-            nxt = nxt.join(blocked, "node", "left_anti")
-        frontier = nxt.withColumn("dist", F.lit(d))
-        known = known.unionByName(frontier)
-    return known
-
-
-def edge_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Undirected edges (src, dst, w) of two sides → a, b, w_before, w_after, change: formed, broken, changed or same."""
-    norm = lambda df, w: df.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "w").groupBy("a", "b").agg(F.max("w").alias(w))
-    j = norm(before, "w_before").join(norm(after, "w_after"), ["a", "b"], "full_outer").fillna(0, ["w_before", "w_after"])
-    kind = F.when(F.col("w_before") == 0, "formed").when(F.col("w_after") == 0, "broken").when(F.col("w_before") != F.col("w_after"), "changed").otherwise("same")
-    return j.withColumn("change", kind)
+    cell = F.array(*[F.floor(F.get(vector, F.lit(i)).cast("double") / radius) for i in range(axes)])
+    near = F.array(*[F.array(*[F.get("__cell", F.lit(i)) + d for i, d in enumerate(ds)]) for ds in product((-1, 0, 1), repeat=axes)])
+    a = df.select(group, F.col(key).alias("i"), F.col(vector).alias("x"), cell.alias("__cell"))
+    b = df.select(group, F.col(key).alias("j"), F.col(vector).alias("y"), cell.alias("__cell")).withColumn("__cell", F.explode(near))
+    return a.join(b, [group, "__cell"]).where("i < j").select(group, "i", "j", distance(F.col("x"), F.col("y")).alias("distance")).where(F.col("distance") <= radius)
 
 
 def message_pass(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
@@ -91,13 +127,6 @@ def message_pass(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
     return nodes
 
 
-def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Of each graph: nodes, edges, density E / (N (N - 1))."""
-    n = nodes.groupBy("graph_id").agg(F.count("*").alias("n_nodes"))
-    e = edges.groupBy("graph_id").agg(F.count("*").alias("n_edges"))
-    return n.join(e, "graph_id", "left").fillna(0).withColumn("density", F.when(F.col("n_nodes") > 1, F.col("n_edges") / (F.col("n_nodes") * (F.col("n_nodes") - 1))).otherwise(F.lit(0.0)))
-
-
 def greedy_leaders(df: DataFrame, group: str, key: str, energy: str, vector: str, apart: float, most: int) -> DataFrame:
     """Of each group, in order of energy: a member leads if it is ``apart`` or more from all leaders so far, up to ``most``.
 

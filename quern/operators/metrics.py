@@ -80,6 +80,45 @@ def always_wrong(p: DataFrame, row: str) -> DataFrame:
     return g.where("wrong = n").select(row, "n", F.col("m.l").alias("usual"))
 
 
+def wrong_in_all(p: DataFrame, row: str) -> DataFrame:
+    """Rows that no model gets right, and how many tried."""
+    return p.groupBy(row).agg(F.count("*").alias("n"), F.bool_or(F.col("y_true") == F.col("y_pred")).alias("hit")).where("NOT hit").select(row, "n")
+
+
+def majority_class(p: DataFrame, by: list[str], label: str) -> DataFrame:
+    """The commonest label of each group, ties to the smallest."""
+    c = p.where(F.col(label).isNotNull()).groupBy(*by, label).agg(F.count("*").alias("c"))
+    return c.groupBy(*by).agg(F.min(F.struct((-F.col("c")).alias("k"), F.col(label).alias("l"))).alias("m")).select(*by, F.col("m.l").alias("majority"))
+
+
+def distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """column, n_distinct of each column, nulls left out; exact."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])).alias("s")).select("s.*")
+    return long.where("value IS NOT NULL").distinct().groupBy("column").agg(F.count("*").alias("n_distinct"))
+
+
+def all_of(df: DataFrame, key: str, axis: str, flag: str, axes: list) -> DataFrame:
+    """key, all: whether the flag holds on every axis; an axis without a row counts as false."""
+    held = [F.coalesce(F.bool_and(F.when(F.col(axis) == a, F.col(flag))), F.lit(False)) for a in axes]
+    out = held[0]
+    for h in held[1:]:
+        out = out & h
+    return df.groupBy(key).agg(out.alias("all"))
+
+
+def cluster_profile(df: DataFrame, cluster: str, label: str, category: str) -> DataFrame:
+    """Of each cluster: n, share of all rows, commonest label and its purity, commonest category and its share."""
+    labels = purity(df, [cluster], label).select(cluster, "n", "mode_label", "purity")
+    common = purity(df, [cluster], category).select(cluster, F.col("mode_label").alias("category"), F.col("purity").alias("category_share"))
+    every = W.partitionBy()
+    return labels.join(common, cluster).withColumn("share", F.col("n") / F.sum("n").over(every))
+
+
+def most_common(df: DataFrame, by: str, k: int) -> DataFrame:
+    """The k commonest values, ties to the smallest."""
+    return df.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by).limit(k)
+
+
 def complementarity(p: DataFrame, row: str, a: str, b: str) -> DataFrame:
     """Rows that both models, only a, only b, neither get right."""
     hit = (F.col("y_true") == F.col("y_pred")).cast("int")

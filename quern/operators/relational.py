@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.functions import parse
+from quern.operators.order import order_statistics, quantiles, ranked
+
 
 def lookup(df: DataFrame, dim: DataFrame, key: str, value: str, default) -> DataFrame:
     """``value`` of the dimension by ``key``, ``default`` where it has none. Spark broadcasts the dimension if it is small enough."""
@@ -24,13 +27,26 @@ def cascade(df: DataFrame, steps: list[tuple[DataFrame, str]], value: str, defau
     return df.withColumn(value, F.coalesce(*found, default)).withColumn(known, F.col(found[0]).isNotNull().cast("int")).drop(*found)
 
 
-def keyword_lookup(df: DataFrame, text: str, words: DataFrame, key: str) -> DataFrame:
-    """``words``: (keyword, category, prio), a fixed list. The category of the lowest prio whose keyword the text contains, else null.
+def fuzzy_lookup(df: DataFrame, name: str, entries: list[tuple[str, float]], aliases: dict[str, str], value: str, default: float) -> DataFrame:
+    """``value`` by an ordered, fixed list: the entry of the normalised name's alias, else the first entry that contains the name or is contained in it.
 
-    The list is small by contract, so it is broadcast and each row is compared with all of it.
+    Decided once for each distinct name, which is joined back.
     """
-    hit = df.join(F.broadcast(words), F.lower(F.coalesce(F.col(text), F.lit(""))).contains(F.col("keyword")), "left")
-    return hit.groupBy(key).agg(F.min_by("category", "prio").alias("category"))
+    s = F.col("__s")
+    exact = F.try_element_at(F.create_map(*[F.lit(x) for kv in entries for x in kv]), s)
+    near = F.lit(None).cast("double")
+    for key, v in reversed(entries):
+        near = F.when(s.contains(key) | F.lit(key).contains(s), F.lit(v)).otherwise(near)
+    names = df.select(name).distinct().withColumn("__s", parse.normalised(F.col(name), aliases))
+    found = names.select(F.col(name).alias("__name"), F.coalesce(exact, near, F.lit(default)).alias(value))
+    return df.join(found, F.col(name).eqNullSafe(F.col("__name")), "left").drop("__name")
+
+
+def attach(df: DataFrame, metadata: DataFrame, key: str) -> DataFrame:
+    """``df`` with the metadata of its key; a key without metadata, or with several rows of it, is an error."""
+    meta = metadata.groupBy(key).agg(F.count("*").alias("__n"), *[F.first(c).alias(c) for c in metadata.columns if c != key])
+    wrong = F.raise_error(F.concat(F.lit(f"no single metadata row for {key} "), F.col(key).cast("string")))
+    return df.join(meta, key, "left").where(F.when(F.col("__n") == 1, True).otherwise(wrong.cast("boolean"))).drop("__n")
 
 
 def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -41,15 +57,8 @@ def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def group_ids(df: DataFrame, key: str) -> DataFrame:
-    """Distinct keys with ids 0, 1, ... in their order.
-
-    Keys are cut into ranges by their first characters, ids are the range's offset plus the place in the
-    range: two small windows (over ranges, within ranges) in place of one over all keys.
-    """
-    keys = df.select(key).distinct().withColumn("__r", F.substring(F.hex(F.encode(F.col(key).cast("string"), "UTF-8")), 1, 6))
-    offsets = keys.groupBy("__r").agg(F.count("*").alias("n")).select("__r", (F.sum("n").over(W.orderBy("__r")) - F.col("n")).alias("__o"))
-    place = F.row_number().over(W.partitionBy("__r").orderBy(key))
-    return keys.withColumn("__p", place).join(offsets, "__r").select(key, (F.col("__o") + F.col("__p") - 1).cast("long").alias("group_id"))
+    """Distinct keys with ids 0, 1, ... in their order."""
+    return ranked(df.select(key).distinct(), [key], "group_id")
 
 
 def contradictions(df: DataFrame, key: str, condition: str, label: str) -> DataFrame:
@@ -64,25 +73,30 @@ def contradictions(df: DataFrame, key: str, condition: str, label: str) -> DataF
 
 
 def temporal_split(df: DataFrame, row_id: str, year: Column, cutoffs: list[tuple[int, int, int]]) -> DataFrame:
-    """Expanding windows: years up to the 1st cutoff train, from there to the 2nd val, from the 3rd to the next fold's end test.
+    """Expanding windows: years up to the 1st cutoff train, from there to the 2nd val, from the 3rd on test.
 
-    Each cutoff is (last train year, last val year, first test year); test runs to the next cutoff's last train year
-    or the end. A fold with an empty part is dropped. Cutoffs are a literal array: no join.
+    Each cutoff is (last train year, last val year, first test year). A fold with an empty part is dropped.
+    Cutoffs are a literal array: no join.
     """
-    ends = [c[0] for c in cutoffs[1:]] + [9999]
-    folds = F.array(*[F.struct(F.lit(f"tscv_fold{i}").alias("split_name"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c"), F.lit(e).alias("e")) for i, ((a, b, c), e) in enumerate(zip(cutoffs, ends, strict=True), 1)])
+    folds = F.array(*[F.struct(F.lit(f"tscv_fold{i}").alias("split_name"), *[F.lit(x).alias(n) for n, x in zip("abc", c, strict=True)]) for i, c in enumerate(cutoffs, 1)])
     y = df.select(F.col(row_id).alias("row_id"), year.alias("__y"), F.explode(folds).alias("f"))
-    role = F.when(F.col("__y") <= F.col("f.a"), "train").when(F.col("__y") <= F.col("f.b"), "val").when((F.col("__y") >= F.col("f.c")) & (F.col("__y") <= F.col("f.e")), "test")
+    role = F.when(F.col("__y") <= F.col("f.a"), "train").when(F.col("__y") <= F.col("f.b"), "val").when(F.col("__y") >= F.col("f.c"), "test")
     out = y.select(F.col("f.split_name").alias("split_name"), "row_id", role.alias("role")).where("role IS NOT NULL")
     full = out.groupBy("split_name").agg(F.count_distinct("role").alias("n")).where("n = 3").select("split_name")
-    return out.join(F.broadcast(full), "split_name", "left_semi")
+    return out.join(full, "split_name", "left_semi")
+
 
+def group_split(df: DataFrame, row_id: str, group: str, seeds: list[int], test: float = 0.2, val: float = 0.125, name: str = "grouped_seed") -> DataFrame:
+    """Of each seed whole groups to test, val (a share of the rest) or train by the hash of (seed, group).
 
-def group_split(df: DataFrame, row_id: str, group: str, seed: int, test: float = 0.2, val: float = 0.15) -> DataFrame:
-    """Whole groups to test, val or train by the hash of (seed, group): no sort, no shuffle, the same for every run."""
-    place = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col(group).cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    No sort, no shuffle, one scan for all seeds, the same for every run. A scaffold split is the same over
+    scaffolds, with a val of 0.15 / 0.8.
+    """
+    seed = F.col("__seed")
+    place = F.conv(F.substring(F.md5(F.concat_ws("|", seed.cast("string"), F.coalesce(F.col("group").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     role = F.when(place < test, "test").when(place < test + (1 - test) * val, "val").otherwise("train")
-    return df.select(F.lit(f"grouped_seed{seed}").alias("split_name"), F.col(row_id).alias("row_id"), F.col(group).alias("group"), role.alias("role"))
+    rows = df.select(F.col(row_id).alias("row_id"), F.col(group).alias("group"), F.explode(F.array(*map(F.lit, seeds))).alias("__seed"))
+    return rows.select(F.concat(F.lit(name), seed).alias("split_name"), "row_id", "group", role.alias("role"))
 
 
 def split_report(splits: DataFrame) -> DataFrame:
@@ -101,17 +115,33 @@ def verify_split(splits: DataFrame, check_groups: bool = True) -> None:
 
 def sequential_folds(df: DataFrame, row_id: str, k: int) -> DataFrame:
     """Row-order folds: row ids cut into k + 1 equal parts (by exact quantiles), part i tests fold i, earlier parts train it."""
-    cuts = df.agg(F.percentile(row_id, [i / (k + 1) for i in range(1, k + 1)]).alias("q"))
-    part = df.crossJoin(F.broadcast(cuts)).select(F.col(row_id).alias("row_id"), F.size(F.filter("q", lambda x: x < F.col(row_id))).alias("part"))
-    return part.select("row_id", "part", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("fold")).where(F.col("part") <= F.col("fold")).select(F.concat(F.lit("fold"), "fold").alias("split_name"), "row_id", F.when(F.col("part") == F.col("fold"), "test").otherwise("train").alias("role"))
+    cuts = [x for x in quantiles(df, [(row_id, i / (k + 1)) for i in range(1, k + 1)]) if x is not None]
+    part = sum(((F.col(row_id) > x).cast("int") for x in cuts), F.lit(0))
+    parts = df.select(F.col(row_id).alias("row_id"), part.alias("part"), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("fold")).where(F.col("part") <= F.col("fold"))
+    return parts.select(F.concat(F.lit("fold"), "fold").alias("split_name"), "row_id", F.when(F.col("part") == F.col("fold"), "test").otherwise("train").alias("role"))
+
+
+def validation_tail(df: DataFrame, row_id: str, share: int = 10) -> DataFrame:
+    """row_id, role: the last 1 / ``share`` of the (unique) row ids, one at least, validate; the rest train."""
+    (cut,) = order_statistics(df, [(row_id, lambda n: n - max(1, n // share))])
+    return df.select(F.col(row_id).alias("row_id"), F.when(F.col(row_id) >= F.lit(cut), "val").otherwise("train").alias("role"))
 
 
 def assemble(blocks: list[DataFrame], row_id: str) -> DataFrame:
-    """Feature blocks side by side, joined by row id; a column name in two blocks is an error."""
+    """Feature blocks side by side, joined by row id.
+
+    A column name in two blocks is an error at once. A row that a block lacks or has twice is an error when
+    the result is computed: rows are joined in full, so none gets lost.
+    """
     names = [c for b in blocks for c in b.columns if c != row_id]
     if len(names) != len(set(names)):
         raise ValueError(f"columns in more than one block: {sorted({c for c in names if names.count(c) > 1})}")
-    return reduce(lambda a, b: a.join(b, row_id), blocks)
+    marks = [f"__in{i}" for i in range(len(blocks))]
+    out = reduce(lambda a, b: a.join(b, row_id, "full"), [b.withColumn(m, F.lit(1)) for b, m in zip(blocks, marks, strict=True)])
+    out = out.withColumn("__rows", F.count("*").over(W.partitionBy(row_id)))
+    sound = reduce(lambda a, b: a & b, [F.col(m).isNotNull() for m in marks]) & (F.col("__rows") == 1)
+    wrong = F.raise_error(F.concat(F.lit(f"not one row in every block for {row_id} "), F.coalesce(F.col(row_id).cast("string"), F.lit("null"))))
+    return out.where(F.when(sound, True).otherwise(wrong.cast("boolean"))).select(row_id, *names)
 
 
 def select_prefixes(df: DataFrame, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), always: tuple[str, ...] = ()) -> DataFrame:
@@ -122,14 +152,61 @@ def select_prefixes(df: DataFrame, include: tuple[str, ...] = (), exclude: tuple
     return df.select(*always, *cols)
 
 
+def supported(df: DataFrame, by: list[str], label: str, rows: int = 20, classes: int = 2) -> DataFrame:
+    """Groups with at least so many rows and labels: what is worth fitting or scoring."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct(label).alias("classes")).where((F.col("n") >= rows) & (F.col("classes") >= classes))
+
+
+def masked(splits: DataFrame, rows: DataFrame, masks: list[str], row_id: str = "row_id") -> DataFrame:
+    """Split rows whose row passes every mask (a boolean column of ``rows``); null is false."""
+    keep = reduce(lambda a, b: a & b, [F.coalesce(F.col(m), F.lit(False)) for m in masks])
+    return splits.join(rows.where(keep).select(row_id), row_id, "left_semi")
+
+
+def flags(c: Column, sets: dict[str, tuple[str, ...]]) -> list[Column]:
+    """A 0/1 column for each named set: whether the value is in it; null is in none."""
+    return [F.coalesce(c.isin(*members).cast("int"), F.lit(0)).alias(name) for name, members in sets.items()]
+
+
+def prefixed(df: DataFrame, prefix: str, but: tuple[str, ...] = ()) -> DataFrame:
+    return df.withColumnsRenamed({c: prefix + c for c in df.columns if c not in but})
+
+
+def best_of(df: DataFrame, group: list[str], tiers: list[Column], then: list[Column]) -> DataFrame:
+    """The row of each group that meets the first of the ``tiers`` met by any, among those the least of ``then``.
+
+    Rows that meet no tier come last. An aggregate over (tier, then, row): a hot group costs one row a task.
+    """
+    tier = F.lit(len(tiers))
+    for i, t in reversed(list(enumerate(tiers))):
+        tier = F.when(F.coalesce(t, F.lit(False)), F.lit(i)).otherwise(tier)
+    rest = [c for c in df.columns if c not in group]
+    order = F.struct(tier.alias("tier"), *[c.alias(f"t{i}") for i, c in enumerate(then)], F.struct(*rest).alias("row"))
+    best = df.groupBy(*group).agg(F.min(order).alias("m"))
+    return best.select(*group, "m.row.*", F.col("m.tier").alias("tier"))
+
+
+def softmax(df: DataFrame, group: list[str], score: str, temperature: float = 1.0) -> DataFrame:
+    """Adds ``share``: exp(score / t) normed to 1 in each group, shifted by the group's largest."""
+    w = W.partitionBy(*group)
+    scaled = F.col(score) / max(temperature, 0.1)
+    e = df.withColumn("__e", F.exp(scaled - F.max(scaled).over(w)))
+    return e.withColumn("share", F.col("__e") / F.sum("__e").over(w)).drop("__e")
+
+
 def one_hot(c: Column, values: list[str], prefix: str) -> list[Column]:
     return [F.coalesce((c == v).cast("int"), F.lit(0)).alias(f"{prefix}{v}") for v in values]
 
 
 def median_impute(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Nulls become their column's exact median, 0 where all are null. The medians are one row, broadcast."""
-    medians = df.agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(f"__m_{c}") for c in cols])
-    return df.crossJoin(F.broadcast(medians)).select(*[F.coalesce(F.col(c).cast("double"), F.col(f"__m_{c}")).alias(c) if c in cols else F.col(c) for c in df.columns])
+    """Nulls become their column's exact median, 0 where all are null."""
+    medians = dict(zip(cols, quantiles(df, [(c, 0.5) for c in cols]), strict=True))
+    return df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(medians[c] or 0.0)).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def row_nulls(df: DataFrame, row_id: str, cols: list[str]) -> DataFrame:
+    """row_id, n_null: how many of the columns are null in each row."""
+    return df.select(row_id, sum((F.col(c).isNull().cast("int") for c in cols), F.lit(0)).alias("n_null"))
 
 
 def null_counts(df: DataFrame) -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import cleaning, evaluation, learning, parsing, vectors
+from quern.plans import cleaning, evaluation, labels, learning, molecules, parsing, protocol, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (cleaning, parsing, evaluation, vectors, learning):
+for _module in (cleaning, labels, parsing, evaluation, vectors, molecules, protocol, learning):
     QUERIES |= _module.REGISTRY.queries
     ORACLES |= _module.REGISTRY.oracles

@@ -76,12 +76,12 @@ def blacklist_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(~parse.contains_any(F.concat_ws(" ", "text", "source"), BLACKLIST)).select("doc_id")
 
 
-@query("SELECT o_custkey AS custkey, o_orderstatus AS status, min(o_orderkey) AS first_key FROM orders GROUP BY ALL")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY'))")
 def membership_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keep-first over (customer, status), kept rows named by a semi join."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("first_key"))
-    kept = o.groupBy("custkey", "status").agg(F.min("first_key").alias("first_key"))
-    return o.join(kept, ["custkey", "status", "first_key"], "left_semi").distinct()
+    """Orders of some priorities (a fixed list) whose customer is in some segments (a semi join)."""
+    customers = table(spark, sf_dir, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
+    o = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select("o_orderkey", "o_custkey")
+    return o.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
 
 
 @query("""SELECT user_id, event_type, CAST(epoch_ms(date_trunc('day', ts)) AS BIGINT) AS day, min(event_id) AS event_id, CAST(min_by(value, event_id) AS DOUBLE) AS value FROM events GROUP BY ALL""")
@@ -104,29 +104,37 @@ def contradiction_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.contradictions(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey", "l_returnflag")
 
 
-CUTOFFS = [(1996, 1997, 1998), (1997, 1998, 1999), (1998, 1999, 2000), (1999, 2000, 2001)]
+CUTOFFS = [(1996, 1997, 1998), (1997, 1998, 1999), (1998, 1999, 2000), (1999, 2000, 2001), (2000, 2001, 2002)]
 
 
-@query("""WITH c(split_name, a, b, c, e) AS (VALUES ('tscv_fold1', 1996, 1997, 1998, 1997), ('tscv_fold2', 1997, 1998, 1999, 1998), ('tscv_fold3', 1998, 1999, 2000, 1999), ('tscv_fold4', 1999, 2000, 2001, 9999)),
+@query("""WITH c(split_name, a, b, c) AS (VALUES """ + ", ".join(f"('tscv_fold{i}', {a}, {b}, {c})" for i, (a, b, c) in enumerate(CUTOFFS, 1)) + """),
 y AS (SELECT o_orderkey AS row_id, year(o_orderdate) AS y FROM orders),
-r AS (SELECT split_name, row_id, CASE WHEN y <= a THEN 'train' WHEN y <= b THEN 'val' WHEN y >= c AND y <= e THEN 'test' END AS role FROM y, c)
+r AS (SELECT split_name, row_id, CASE WHEN y <= a THEN 'train' WHEN y <= b THEN 'val' WHEN y >= c THEN 'test' END AS role FROM y, c)
 SELECT split_name, row_id, role FROM r WHERE role IS NOT NULL AND split_name IN (SELECT split_name FROM r WHERE role IS NOT NULL GROUP BY 1 HAVING count(DISTINCT role) = 3)""")
 def temporal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last fold has no test year and is dropped."""
     return R.temporal_split(table(spark, sf_dir, "orders"), "o_orderkey", F.year("o_orderdate"), CUTOFFS)
 
 
-GROUP_SQL = """WITH s AS (SELECT seed, o_orderkey AS row_id, o_custkey AS g,
-  CAST(('0x' || substr(md5(CAST(seed AS VARCHAR) || '|' || CAST(o_custkey AS VARCHAR)), 1, 8))::BIGINT AS DOUBLE) / 4294967296.0 AS p FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS seed)),
-r AS (SELECT 'grouped_seed' || seed AS split_name, row_id, g, CASE WHEN p < 0.2 THEN 'test' WHEN p < 0.2 + 0.8 * 0.15 THEN 'val' ELSE 'train' END AS role FROM s)
+SEEDS = [1, 2, 3, 4, 5]
+
+
+def group_sql(key: str, name: str, seeds: list[int], val: float) -> str:
+    return f"""WITH s AS (SELECT seed, o_orderkey AS row_id, {key} AS g,
+  CAST(('0x' || substr(md5(CAST(seed AS VARCHAR) || '|' || CAST({key} AS VARCHAR)), 1, 8))::BIGINT AS DOUBLE) / 4294967296.0 AS p FROM orders, (SELECT unnest({seeds}) AS seed)),
+r AS (SELECT '{name}' || seed AS split_name, row_id, g, CASE WHEN p < 0.2 THEN 'test' WHEN p < 0.2 + 0.8 * {val} THEN 'val' ELSE 'train' END AS role FROM s)
 """
 
 
+GROUP_SQL = group_sql("o_custkey", "grouped_seed", SEEDS, 0.125)
+REPORT_SQL = """, a AS (SELECT split_name, row_id, count(DISTINCT role) AS n FROM r GROUP BY ALL),
+g AS (SELECT split_name, g, max(CAST(role = 'train' AS INT)) * max(CAST(role = 'test' AS INT)) AS shared FROM r GROUP BY ALL)
+SELECT split_name, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(CAST(n > 1 AS INT)) AS BIGINT) AS overlapping,
+  (SELECT CAST(sum(shared) AS BIGINT) FROM g WHERE g.split_name = a.split_name) AS shared_groups FROM a GROUP BY split_name"""
+
+
 def _group_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    out = R.group_split(o, "o_orderkey", "o_custkey", 1)
-    for seed in range(2, 6):
-        out = out.unionByName(R.group_split(o, "o_orderkey", "o_custkey", seed))
-    return out
+    return R.group_split(table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey", SEEDS)
 
 
 @query(GROUP_SQL + "SELECT split_name, row_id, role FROM r")
@@ -134,14 +142,38 @@ def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _group_splits(spark, sf_dir).select("split_name", "row_id", "role")
 
 
-@query(GROUP_SQL + """, a AS (SELECT split_name, row_id, count(DISTINCT role) AS n FROM r GROUP BY ALL),
-g AS (SELECT split_name, g, max(CAST(role = 'train' AS INT)) * max(CAST(role = 'test' AS INT)) AS shared FROM r GROUP BY ALL)
-SELECT split_name, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(CAST(n > 1 AS INT)) AS BIGINT) AS overlapping,
-  (SELECT CAST(sum(shared) AS BIGINT) FROM g WHERE g.split_name = a.split_name) AS shared_groups FROM a GROUP BY split_name""")
+@query(group_sql("strftime(o_orderdate, '%Y%m') || o_orderpriority", "scaffold", [42], 0.15 / 0.8) + "SELECT split_name, row_id, role FROM r")
+def scaffold_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over a derived structure in place of a group id: here the month and priority."""
+    o = table(spark, sf_dir, "orders").withColumn("scaffold", F.concat(F.date_format("o_orderdate", "yyyyMM"), "o_orderpriority"))
+    return R.group_split(o, "o_orderkey", "scaffold", [42], val=0.15 / 0.8, name="scaffold").select("split_name", "row_id", "role")
+
+
+@query(GROUP_SQL + REPORT_SQL)
 def split_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.split_report(_group_splits(spark, sf_dir))
 
 
+@query(GROUP_SQL + """SELECT split_name, row_id, role FROM r JOIN orders ON row_id = o_orderkey
+WHERE o_orderstatus <> 'P' AND o_totalprice > 50000 AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""")
+def masked_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fold rows that are valid, in scope and gold."""
+    gold = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_acctbal") > 0).alias("gold"))
+    o = table(spark, sf_dir, "orders").join(gold, "o_custkey", "left")
+    rows = o.select(F.col("o_orderkey").alias("row_id"), (F.col("o_orderstatus") != "P").alias("valid"), (F.col("o_totalprice") > 50000).alias("scope"), "gold")
+    return R.masked(_group_splits(spark, sf_dir), rows, ["valid", "scope", "gold"]).select("split_name", "row_id", "role")
+
+
+@query("SELECT o_custkey, count(*) AS n, CAST(count(DISTINCT o_orderstatus) AS BIGINT) AS classes FROM orders GROUP BY ALL HAVING count(*) >= 10 AND count(DISTINCT o_orderstatus) >= 2")
+def support_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.supported(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderstatus", rows=10)
+
+
+@query("""SELECT o_orderkey AS row_id, CASE WHEN row_number() OVER (ORDER BY o_orderkey) > count(*) OVER () - greatest(1, count(*) OVER () // 10) THEN 'val' ELSE 'train' END AS role FROM orders""")
+def validation_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.validation_tail(table(spark, sf_dir, "orders"), "o_orderkey")
+
+
 @query("""WITH q AS (SELECT quantile_cont(o_orderkey, 0.25) AS a, quantile_cont(o_orderkey, 0.5) AS b, quantile_cont(o_orderkey, 0.75) AS c FROM orders),
 p AS (SELECT o_orderkey AS row_id, CAST(a < o_orderkey AS INT) + CAST(b < o_orderkey AS INT) + CAST(c < o_orderkey AS INT) AS part FROM orders, q)
 SELECT 'fold' || f AS split_name, row_id, CASE WHEN part = f THEN 'test' ELSE 'train' END AS role FROM p, (SELECT unnest([1, 2, 3]) AS f) WHERE part <= f""")

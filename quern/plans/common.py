@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,3 +24,22 @@ class Registry:
             return f
 
         return take
+
+
+def sql_value(x) -> str:
+    return "NULL" if x is None else "true" if x is True else "false" if x is False else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else repr(x)
+
+
+def cases_sql(cases: list[tuple], table: str, key: str, columns: dict[str, str]) -> str:
+    """Each row of ``table`` with what is expected of the case that its key picks: cases are (input, expected ...), stated by hand.
+
+    ``columns``: name → SQL type of the expected values.
+    """
+    rows = ", ".join(f"({i}, {', '.join(map(sql_value, c[1:]))})" for i, c in enumerate(cases))
+    picked = ", ".join(f"CAST({n} AS {t}) AS {n}" for n, t in columns.items())
+    return f"WITH c(i, {', '.join(columns)}) AS (VALUES {rows}) SELECT {key}, {picked} FROM {table} JOIN c ON {key} % {len(cases)} = c.i"
+
+
+def case_input(cases: list[tuple], key: str) -> Column:
+    """The input of the case that a row's key picks."""
+    return F.element_at(F.array(*[F.lit(c[0]).cast("string") for c in cases]), (F.col(key) % len(cases) + 1).cast("int"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import ensembles as E
 from quern.operators import metrics as M
+from quern.operators import protocol as P
 from quern.operators import relational as R
 from quern.plans.common import Registry, table
 
@@ -156,21 +157,28 @@ def always_wrong(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.always_wrong(models(spark, sf_dir), "id")
 
 
+@query(MODELS_SQL + "SELECT id, count(*) AS n FROM m GROUP BY id HAVING NOT bool_or(y_true = y_pred)")
+def wrong_in_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.wrong_in_all(models(spark, sf_dir), "id")
+
+
 @query(MODELS_SQL + ", r AS (SELECT id, bool_or(y_true = y_pred) FILTER (model = 'a') AS a, bool_or(y_true = y_pred) FILTER (model = 'b') AS b FROM m GROUP BY id) SELECT CASE WHEN a AND b THEN 'both' WHEN a THEN 'only_a' WHEN b THEN 'only_b' ELSE 'neither' END AS kind, count(*) AS n FROM r GROUP BY ALL")
 def model_complementarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.complementarity(models(spark, sf_dir), "id", "a", "b")
 
 
-@query("""WITH r AS (SELECT l_returnflag AS f, avg(l_discount) AS v FROM lineitem GROUP BY ALL),
-h AS (SELECT s, l_returnflag AS f, avg(l_discount) FILTER (substr(md5(CAST(s AS VARCHAR) || '|' || l_orderkey || '|' || l_linenumber), 1, 1) < '8') AS v FROM lineitem, (SELECT unnest(range(0, 20)) AS s) GROUP BY ALL)
+NULL_SEEDS = list(range(10))
+
+
+@query("""WITH d AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag AS f, l_discount FROM lineitem), n AS (SELECT f, count(*) AS n FROM d GROUP BY f), c AS (SELECT f, sum(n) OVER (ORDER BY f) AS upto, sum(n) OVER (ORDER BY f) - n AS since FROM n),
+s AS (SELECT s, l_discount, row_number() OVER (PARTITION BY s ORDER BY substr(md5(CAST(s AS VARCHAR) || '|' || CAST(id AS VARCHAR)), 1, 15)) - 1 AS place FROM d, (SELECT unnest(range(0, 10)) AS s)),
+h AS (SELECT s, f, avg(l_discount) AS v FROM s JOIN c ON place >= since AND place < upto GROUP BY ALL), r AS (SELECT f, avg(l_discount) AS v FROM d GROUP BY f)
 SELECT h.f AS flag, round(avg(CAST(h.v >= r.v AS DOUBLE)), 6) AS p_value, round(quantile_cont(h.v, 0.75), 6) AS null_p75 FROM h JOIN r ON h.f = r.f GROUP BY ALL""")
 def null_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashed half samples stand in for the null runs."""
-    l = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_discount", "l_orderkey", "l_linenumber")
+    """Each flag's mean discount against those of runs with the flags dealt anew to all rows."""
+    l = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_returnflag").alias("flag"), "l_discount")
     real = l.groupBy("flag").agg(F.avg("l_discount").alias("v"))
-    half = lambda s: F.substring(F.md5(F.concat_ws("|", F.lit(str(s)), "l_orderkey", "l_linenumber")), 1, 1) < "8"
-    wide = l.groupBy("flag").agg(*[F.avg(F.when(half(s), F.col("l_discount"))).alias(f"v{s}") for s in range(20)])
-    null = wide.select("flag", F.explode(F.array(*[f"v{s}" for s in range(20)])).alias("v"))
+    null = P.shuffled_labels(l, "id", "flag", NULL_SEEDS).groupBy(F.col("null_label").alias("flag"), "seed").agg(F.avg("l_discount").alias("v"))
     return M.empirical_p(real, null, "flag", "v").select("flag", F.round("p_value", 6).alias("p_value"), F.round("null_p75", 6).alias("null_p75"))
 
 
@@ -211,12 +219,13 @@ def null_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-ASSEMBLE_SQL = "WITH o AS (SELECT o_custkey, count(*) AS ord_n, sum(o_totalprice) AS ord_total FROM orders GROUP BY ALL), a AS (SELECT c_custkey AS row_id, c_acctbal AS acc_bal, ord_n, ord_total, " + ", ".join(f"CAST(c_mktsegment = '{s}' AS INT) AS seg_{s}" for s in SEGMENTS) + " FROM customer JOIN o ON c_custkey = o_custkey) "
+ASSEMBLE_SQL = "WITH o AS (SELECT o_custkey, count(*) AS ord_n, sum(o_totalprice) AS ord_total FROM orders GROUP BY ALL), a AS (SELECT c_custkey AS row_id, c_acctbal AS acc_bal, coalesce(ord_n, 0) AS ord_n, coalesce(ord_total, 0) AS ord_total, " + ", ".join(f"CAST(c_mktsegment = '{s}' AS INT) AS seg_{s}" for s in SEGMENTS) + " FROM customer LEFT JOIN o ON c_custkey = o_custkey) "
 
 
 def _assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("row_id")).agg(F.count("*").alias("ord_n"), F.sum("o_totalprice").alias("ord_total"))
+    ordered = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("row_id")).agg(F.count("*").alias("ord_n"), F.sum("o_totalprice").alias("ord_total"))
+    orders = c.select(F.col("c_custkey").alias("row_id")).join(ordered, "row_id", "left").fillna(0)
     own = c.select(F.col("c_custkey").alias("row_id"), F.col("c_acctbal").alias("acc_bal"))
     return R.assemble([own, orders, c.select(F.col("c_custkey").alias("row_id"), *R.one_hot(F.col("c_mktsegment"), SEGMENTS, "seg_"))], "row_id")
 

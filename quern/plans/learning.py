@@ -28,7 +28,7 @@ def evaluated(spark: SparkSession, sf_dir: str, model) -> DataFrame:
     """Fit on folds 1 to 4, predict fold 0."""
     d = data(spark, sf_dir)
     fitted = model.fit(d.where("fold <> 0"))
-    return fitted.transform(d.where("fold = 0")).select("vec_id", F.col("y").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
+    return _labelled(fitted.transform(d.where("fold = 0")))
 
 
 @query()
@@ -51,6 +51,38 @@ def ml_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.purity(p.select("prediction", F.col("y").cast("int").alias("label")), ["prediction"], "label")
 
 
+@query()
+def ml_kmeans_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sum of squared distances of scaled rows to their centre, for k = 2 to 10."""
+    d = data(spark, sf_dir)
+    z = StandardScaler(inputCol="x", outputCol="z", withMean=True).fit(d).transform(d).select("z").cache()
+    rows = [(k, float(KMeans(k=k, featuresCol="z", seed=SEED, maxIter=10).fit(z).summary.trainingCost)) for k in range(2, 11)]
+    z.unpersist()
+    return spark.createDataFrame(rows, "k int, inertia double")
+
+
+#: Depth and trees of the forests tried.
+CONFIGS = [(4, 10), (6, 10), (8, 20)]
+
+
+@query()
+def ml_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forests of several configurations fitted on folds 2 to 4; the one that does best on fold 1 is scored on fold 0, which has no say."""
+    d = data(spark, sf_dir)
+    train, rows = d.where("fold >= 2"), []
+    accuracy = lambda m, fold: M.balanced_accuracy(_labelled(m.transform(d.where(F.col("fold") == fold))), []).first()["bal_acc"]
+    models = [RandomForestClassifier(featuresCol="x", labelCol="y", maxDepth=depth, numTrees=trees, seed=SEED).fit(train) for depth, trees in CONFIGS]
+    vals = [accuracy(m, 1) for m in models]
+    best = vals.index(max(vals))
+    for i, ((depth, trees), val) in enumerate(zip(CONFIGS, vals, strict=True)):
+        rows.append((depth, trees, float(val), float(accuracy(models[i], 0)) if i == best else None))
+    return spark.createDataFrame(rows, "depth int, trees int, val double, test double")
+
+
+def _labelled(predicted: DataFrame) -> DataFrame:
+    return predicted.select("vec_id", F.col("y").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
+
+
 @query()
 def ml_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     """16 components, fitted on the training folds only; signs are arbitrary."""

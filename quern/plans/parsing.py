@@ -7,25 +7,31 @@ from pyspark.sql import functions as F
 
 from quern.functions import parse
 from quern.operators import relational as R
-from quern.plans.common import Registry, table
+from quern.plans.common import Registry, case_input, cases_sql, table
 
 REGISTRY = Registry()
 query = REGISTRY.add
 
 
-@query(r"""WITH s AS (SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN '-' || p_size || ' - ' || (p_size + 10) WHEN 2 THEN p_size || '; 99'
-  WHEN 3 THEN 'Ca. ' || p_size WHEN 4 THEN 'ca. ' || p_size || ' - 20' WHEN 5 THEN p_size || ' – 20 approx' END AS t FROM part),
-c AS (SELECT p_partkey, trim(split_part(t, ';', 1)) AS t FROM s),
-b AS (SELECT *, trim(regexp_replace(t, '^[Cc]a\.\s*', '')) AS bare, regexp_matches(t, '^\s*([+-]?[0-9]*\.?[0-9]+)\s*[-–]\s*([+-]?[0-9]*\.?[0-9]+)') AS is_range FROM c)
-SELECT p_partkey, CAST(CASE WHEN is_range THEN (CAST(regexp_extract(t, '^\s*([+-]?[0-9]*\.?[0-9]+)\s*[-–]\s*([+-]?[0-9]*\.?[0-9]+)', 1) AS DOUBLE) + CAST(regexp_extract(t, '^\s*([+-]?[0-9]*\.?[0-9]+)\s*[-–]\s*([+-]?[0-9]*\.?[0-9]+)', 2) AS DOUBLE)) / 2
-  WHEN regexp_full_match(bare, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') THEN CAST(bare AS DOUBLE) END AS DOUBLE) AS number FROM b""")
+#: Field text and the number in it.
+NUMBERS = [
+    ("-78", -78.0), ("-78 - 20", -29.0), ("10; 20", 10.0), ("Ca. 5", 5.0), ("Ca 5", 5.0), ("ca.5", 5.0), ("ca. 10 - 20", None), ("10 - 20 approx", 15.0), ("10 – 20", 15.0), ("-20 - -10", -15.0),
+    ("5d", None), ("", None), (None, None), ("  7.5 \t", 7.5), ("1e2", 100.0), (".5", 0.5), ("+3", 3.0), ("20 ; x", 20.0), ("x; 20", None), ("10-20; 30-40", 15.0), ("about 5", None), ("0", 0.0), ("12.", 12.0),
+]
+
+
+@query(cases_sql(NUMBERS, "part", "p_partkey", {"number": "DOUBLE"}))
 def kv_numeric_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, size = F.col("p_partkey") % 7, F.col("p_size").cast("string")
-    t = (
-        F.when(n == 0, size).when(n == 1, F.concat(F.lit("-"), size, F.lit(" - "), (F.col("p_size") + 10).cast("string"))).when(n == 2, F.concat(size, F.lit("; 99")))
-        .when(n == 3, F.concat(F.lit("Ca. "), size)).when(n == 4, F.concat(F.lit("ca. "), size, F.lit(" - 20"))).when(n == 5, F.concat(size, F.lit(" – 20 approx")))
-    )
-    return table(spark, sf_dir, "part").select("p_partkey", parse.numeric_field(t).alias("number"))
+    return table(spark, sf_dir, "part").select("p_partkey", parse.numeric_field(case_input(NUMBERS, "p_partkey")).alias("number"))
+
+
+#: The same read as meant: a range after Ca. counts.
+MEANT_NUMBERS = [("ca. 10 - 20", 15.0), ("Ca 10–30; 5", 20.0), ("10 - 20", 15.0), ("Ca. x", None), ("7", 7.0)]
+
+
+@query(cases_sql(MEANT_NUMBERS, "part", "p_partkey", {"number": "DOUBLE"}))
+def numeric_as_meant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", parse.numeric_field(case_input(MEANT_NUMBERS, "p_partkey"), strict=False).alias("number"))
 
 
 @query("""WITH s AS (SELECT p_partkey, list_filter(list_transform(string_split(replace(p_name, ' ', ' ; '), ';'), lambda x: trim(x)), lambda x: x <> '') AS w FROM part)
@@ -45,20 +51,47 @@ def reaction_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", parse.reaction_sides(r).alias("s")).select("p_partkey", F.size("s.reactants").alias("n_reactants"), F.size("s.products").alias("n_products"))
 
 
-@query(r"""WITH s AS (SELECT p_partkey, lower(CASE p_partkey % 6 WHEN 0 THEN p_size || ' percent ee' WHEN 1 THEN '90% ee, ' || p_size || '% de' WHEN 2 THEN 'dr >' || p_size || ':1' WHEN 3 THEN 'non-evans syn' WHEN 4 THEN 'anti 3:' || p_size ELSE 'enantiomeric' END) AS s FROM part),
-m AS (SELECT *, coalesce(TRY_CAST(nullif(regexp_extract(s, '([0-9]+\.?[0-9]*)\s*(?:%|percent)\s*d\.?e', 1), '') AS DOUBLE), TRY_CAST(nullif(regexp_extract(s, '([0-9]+\.?[0-9]*)\s*(?:%|percent)\s*e\.?e', 1), '') AS DOUBLE)) AS ee,
-  CAST(nullif(regexp_extract(s, '([0-9]+\.?[0-9]*)\s*:\s*([0-9]+\.?[0-9]*)', 1), '') AS DOUBLE) AS a, CAST(nullif(regexp_extract(s, '([0-9]+\.?[0-9]*)\s*:\s*([0-9]+\.?[0-9]*)', 2), '') AS DOUBLE) AS b FROM s)
-SELECT p_partkey, ee, a / (a + b) AS dr, CASE WHEN s LIKE '%anti%' THEN 'anti' WHEN regexp_matches(s, 'evans[ -]?syn') THEN 'evans_syn' WHEN s LIKE '%syn%' THEN 'syn' END AS kind FROM m""")
+#: Optical yield and its ee, dr, kind, syn.
+OPTICAL = [
+    ("99 percent ee", 99.0, None, None, None), ("95 ee", 95.0, None, None, None), ("90% ee, 80% de", 80.0, None, None, None), ("80% de, 90% ee", 80.0, None, None, None), ("97.5 %ee", 97.5, None, None, None),
+    ("dr >20:1", None, 20 / 21, None, None), ("d.r. = 3:1", None, 0.75, None, None), ("1:1; dr 9:1", None, 0.9, None, None), ("ratio 4:1", None, 0.8, None, None), ("dr 0:0, 3:1", None, None, None, None),
+    ("non-evans syn", None, None, "evans_syn", True), ("non-evans", None, None, "non_evans", False), ("Non Evans anti", None, None, "non_evans", False), ("anti, evans syn", None, None, "evans_syn", True),
+    ("anti and syn", None, None, "anti", False), ("SYN 98:2", None, 0.98, "syn", True), ("evans-syn", None, None, "syn", True), ("enantiomeric, 92% ee", 92.0, None, "anti", False), ("", None, None, None, None), (None, None, None, None, None),
+]
+OPTICAL_TYPES = {"ee": "DOUBLE", "dr": "DOUBLE", "kind": "VARCHAR", "syn": "BOOLEAN"}
+
+
+@query(cases_sql(OPTICAL, "part", "p_partkey", OPTICAL_TYPES))
 def optical_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, size = F.col("p_partkey") % 6, F.col("p_size").cast("string")
-    s = (
-        F.when(n == 0, F.concat(size, F.lit(" percent ee"))).when(n == 1, F.concat(F.lit("90% ee, "), size, F.lit("% de"))).when(n == 2, F.concat(F.lit("dr >"), size, F.lit(":1")))
-        .when(n == 3, "non-evans syn").when(n == 4, F.concat(F.lit("anti 3:"), size)).otherwise("enantiomeric")
-    )
-    return table(spark, sf_dir, "part").select("p_partkey", parse.optical_yield(s).alias("o")).select("p_partkey", "o.ee", "o.dr", "o.kind")
+    return table(spark, sf_dir, "part").select("p_partkey", parse.optical_yield(case_input(OPTICAL, "p_partkey")).alias("o")).select("p_partkey", "o.*")
+
+
+#: The same read as meant.
+MEANT_OPTICAL = [
+    ("90% ee, 80% de", 90.0, None, None, None), ("80% de", 80.0, None, None, None), ("non-evans syn", None, None, "non_evans", False), ("evans syn", None, None, "evans_syn", True),
+    ("enantiomeric, 92% ee", 92.0, None, None, None), ("anti 3:1", None, 0.75, "anti", False), ("enantiomeric syn", None, None, "syn", True),
+]
+
+
+@query(cases_sql(MEANT_OPTICAL, "part", "p_partkey", OPTICAL_TYPES))
+def optical_as_meant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", parse.optical_yield(case_input(MEANT_OPTICAL, "p_partkey"), strict=False).alias("o")).select("p_partkey", "o.*")
+
+
+#: Citation and its year.
+YEARS = [
+    ("X (1999); Y (2004)", 2004), ("no year", 2010), (None, 2010), ("A; B; 1987; p. 12", 1987), ("A; 1987; 1999; p. 12", 1987), ("(1950); 2001;", 1950), ("J. (12345)", 2010), ("(0099)", 99), ("A;2003 ; B; 1990;", 2003), ("(2001) (1998)", 2001),
+]
 
 
-@query("""SELECT o_orderkey, CAST(CASE o_orderkey % 3 WHEN 0 THEN greatest(year(o_orderdate), 1997) WHEN 1 THEN year(o_orderdate) ELSE 2010 END AS INT) AS year FROM orders""")
+@query(cases_sql(YEARS, "orders", "o_orderkey", {"year": "INT"}))
+def citation_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", parse.citation_year(case_input(YEARS, "o_orderkey")).alias("year"))
+
+
+@query(r"""WITH s AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'J. X (' || year(o_orderdate) || '); Y (1997)' WHEN 1 THEN 'A; B; ' || year(o_orderdate) || '; p. 12' ELSE 'no year' END AS s FROM orders),
+f AS (SELECT o_orderkey, list_max(list_transform(regexp_extract_all(s, '\((\d{4})\)', 1), lambda x: x::INT)) AS a, list_max(list_transform(regexp_extract_all(s, ';\s*(\d{4})\s*;', 1), lambda x: x::INT)) AS b FROM s)
+SELECT o_orderkey, coalesce(a, b, 2010)::INT AS year FROM f""")
 def year_extract_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, y = F.col("o_orderkey") % 3, F.year("o_orderdate").cast("string")
     c = F.when(n == 0, F.concat(F.lit("J. X ("), y, F.lit("); Y (1997)"))).when(n == 1, F.concat(F.lit("A; B; "), y, F.lit("; p. 12"))).otherwise("no year")
@@ -76,15 +109,15 @@ def row_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", parse.row_digest(F.col("l_partkey"), F.nullif(F.col("l_suppkey") % 10, F.lit(3)), F.col("l_returnflag")).alias("digest"))
 
 
-PRIORITY = [("B", "brushed", 1), ("Ti", "tin", 2), ("Sn", "steel", 3), ("Li", "economy", 4), ("Mg", "large", 5), ("Cu", "copper", 6)]
+PRIORITY = [("B", ("brushed",)), ("Ti", ("tin",)), ("Sn", ("steel",)), ("Li", ("economy", "small")), ("Mg", ("large",)), ("Cu", ("copper",))]
 
 
-@query("""WITH w(category, keyword, prio) AS (VALUES """ + ", ".join(map(str, PRIORITY)) + """)
-SELECT p_partkey, min_by(category, prio) AS category FROM part LEFT JOIN w ON contains(lower(coalesce(p_type, '') || ' ' || coalesce(p_name, '')), keyword) GROUP BY p_partkey""")
+@query("""WITH t AS (SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN ' ' ELSE lower(coalesce(p_type, '') || ' ' || coalesce(p_name, '')) END AS t FROM part),
+w(category, keyword, prio) AS (VALUES """ + ", ".join(f"('{c}', '{w}', {i})" for i, (c, ws) in enumerate(PRIORITY) for w in ws) + """)
+SELECT p_partkey, CASE WHEN trim(any_value(t)) = '' THEN 'unknown' ELSE coalesce(min_by(category, prio), 'none') END AS category FROM t LEFT JOIN w ON contains(t, keyword) GROUP BY p_partkey""")
 def priority_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = spark.createDataFrame(PRIORITY, "category string, keyword string, prio int")
-    p = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_type", "p_name").alias("t"))
-    return R.keyword_lookup(p, "t", words, "p_partkey")
+    text = F.when(F.col("p_partkey") % 11 == 0, " ").otherwise(F.concat_ws(" ", "p_type", "p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", parse.category_of(text, PRIORITY, "none", "unknown").alias("category"))
 
 
 @query("""WITH n AS (SELECT n_nationkey, CAST(n_nationkey AS DOUBLE) * 1.5 AS v FROM nation WHERE n_nationkey % 3 <> 0), r AS (SELECT r_regionkey, CAST(r_regionkey AS DOUBLE) + 100 AS v FROM region WHERE r_regionkey <> 2)
@@ -100,17 +133,56 @@ def cascade_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.cascade(c.crossJoin(F.broadcast(mean)), [(n, "nat"), (r, "reg")], "v", F.col("mean"), "known").select("c_custkey", "v", "known")
 
 
-@query("""WITH b AS (SELECT DISTINCT p_brand AS brand, lower(substr(p_type, 1, 5)) AS tok FROM part), a AS (SELECT tok, min(brand) AS brand FROM b GROUP BY tok),
-w AS (SELECT p_partkey, lower(split_part(p_name, ' ', 1)) AS name FROM part)
-SELECT p_partkey, coalesce(min(brand), 'none') AS brand FROM w LEFT JOIN a ON contains(name, tok) OR contains(tok, name) GROUP BY p_partkey""")
+#: An ordered list of names with a value each, and aliases of them.
+SOLVENTS = [("tetrahydrofuran", 0.55), ("dichloromethane", 0.1), ("toluene", 0.11), ("ether", 0.47), ("methanol", 0.66), ("water", 0.47)]
+ALIASES = {"thf": "tetrahydrofuran", "dcm": "dichloromethane", "meoh": "methanol", "ch2cl2": "dichloromethane"}
+#: Raw name, normalised name, value: alias, exact, name within an entry, entry within a name (the first of the list), unknown, blank (within every entry).
+NAMES = [
+    (" THF ", "tetrahydrofuran", 0.55), ("DCM", "dichloromethane", 0.1), ("Toluene", "toluene", 0.11), ("hydrofuran", "hydrofuran", 0.55), ("diethyl ether", "diethyl ether", 0.47), ("methanol/water", "methanol/water", 0.66),
+    ("benzene", "benzene", 0.0), ("CH2Cl2\t", "dichloromethane", 0.1), ("water and toluene", "water and toluene", 0.11), ("", "", 0.55), (None, "", 0.55), ("ethane", "ethane", 0.1),
+]
+
+
+@query(cases_sql([(x, y) for x, y, _ in NAMES], "part", "p_partkey", {"name": "VARCHAR"}))
+def alias_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", parse.normalised(case_input(NAMES, "p_partkey"), ALIASES).alias("name"))
+
+
+@query(cases_sql([(x, v) for x, _, v in NAMES], "part", "p_partkey", {"value": "DOUBLE"}))
 def fuzzy_contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containment either way against the distinct type tokens, a fixed small list of the catalogue."""
-    p = table(spark, sf_dir, "part")
-    tokens = p.select(F.lower(F.substring("p_type", 1, 5)).alias("tok"), "p_brand").groupBy("tok").agg(F.min("p_brand").alias("brand"))
-    w = p.select("p_partkey", F.lower(F.substring_index("p_name", " ", 1)).alias("name"))
-    names = w.select("name").distinct()  # each distinct name is compared once
-    found = names.join(F.broadcast(tokens), F.col("name").contains(F.col("tok")) | F.col("tok").contains(F.col("name"))).groupBy("name").agg(F.min("brand").alias("brand"))
-    return w.join(found, "name", "left").select("p_partkey", F.coalesce("brand", F.lit("none")).alias("brand"))
+    named = table(spark, sf_dir, "part").select("p_partkey", case_input(NAMES, "p_partkey").alias("name"))
+    return R.fuzzy_lookup(named, "name", SOLVENTS, ALIASES, "value", 0.0).select("p_partkey", "value")
+
+
+BY_METAL = {"B": "dichloromethane", "Li": "tetrahydrofuran", "Ti": "dichloromethane"}
+SOLVENT_RULES = [("dichloromethane", ("butylboryl", "bbn", "boron", "boryl", "ticl", "titanium")), ("tetrahydrofuran", ("lda", "lithium diisopropylamide", "lhmds", "lihmds"))]
+#: Metal and reagents (parted by |) and the inferred solvent.
+REAGENTS = [
+    ("Li|['water']", "tetrahydrofuran"), ("none|['TiCl4', 'x']", "dichloromethane"), ('|["9-BBN triflate"]', "dichloromethane"), ("Zn|['LDA']", "tetrahydrofuran"), ("Zn|['LDA', 'boron']", "dichloromethane"), ("|['water']", None),
+    ("|LDA", None), ("|", None), (" B |", "dichloromethane"), ("0|[]", None),
+]
+
+
+@query(cases_sql(REAGENTS, "part", "p_partkey", {"solvent": "VARCHAR"}))
+def solvent_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.split(case_input(REAGENTS, "p_partkey"), r"\|")
+    return table(spark, sf_dir, "part").select("p_partkey", parse.inferred(F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), BY_METAL, SOLVENT_RULES).alias("solvent"))
+
+
+@query("""WITH s AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 5 = 1 THEN [] ELSE list_transform(range(0, p_partkey % 4 + 1), lambda i: CASE WHEN (p_partkey + i) % 3 = 0 THEN 'S' ELSE 'R' END) END AS s FROM part)
+SELECT p_partkey, CASE WHEN s IS NULL THEN 'na' WHEN len(s) = 0 THEN 'none' ELSE array_to_string(list_sort(s), '|') END AS signature FROM s""")
+def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_partkey")
+    marks = F.transform(F.sequence(F.lit(0).cast("long"), n % 4), lambda i: F.when((n + i) % 3 == 0, "S").otherwise("R"))
+    s = F.when(n % 5 == 0, F.lit(None).cast("array<string>")).when(n % 5 == 1, F.array().cast("array<string>")).otherwise(marks)
+    return table(spark, sf_dir, "part").select("p_partkey", parse.signature(s).alias("signature"))
+
+
+@query("""WITH c AS (SELECT o_orderpriority, sum(o_totalprice) AS n, sum(o_totalprice) FILTER (o_orderstatus = 'F') AS f FROM orders GROUP BY ALL)
+SELECT o_orderpriority, printf('%.1f%%', 100.0 * f / n) AS share FROM c""")
+def formatted_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.sum("o_totalprice").alias("n"), F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))).alias("f"))
+    return c.select("o_orderpriority", parse.percent(F.col("f"), F.col("n")).alias("share"))
 
 
 @query("""SELECT c_custkey, CASE WHEN lower(c_mktsegment) LIKE '%build%' THEN 'construction' WHEN lower(c_mktsegment) LIKE '%auto%' OR lower(c_mktsegment) LIKE '%mach%' THEN 'metal' ELSE 'none' END AS category FROM customer""")

@@ -1,10 +1,11 @@
 import ast
 import pathlib
 
+import numpy as np
 import pytest
 
 import __spark_entry__
-from quern.plans import catalogue
+from quern.plans import catalogue, learning
 from tests.conftest import DATA, assert_same
 
 
@@ -13,9 +14,34 @@ def test_query_equals_sql(spark, duck, name):
     assert_same(catalogue.QUERIES[name](spark, DATA), duck, catalogue.ORACLES[name])
 
 
-@pytest.mark.parametrize("name", ["greedy_clusters", "ml_rf", "ml_kmeans", "ml_pca"])
-def test_query_without_sql_runs(spark, name):
-    assert catalogue.QUERIES[name](spark, DATA).count() > 0
+def test_queries_without_sql_hold_what_they_promise(spark):
+    run = lambda name: catalogue.QUERIES[name](spark, DATA).collect()
+    inertia = [r["inertia"] for r in sorted(run("ml_kmeans_sweep"))]
+    assert len(inertia) == 9 and all(b < a * 1.02 for a, b in zip(inertia, inertia[1:], strict=False)) and inertia[-1] < inertia[0]
+    e = spark.read.parquet(f"{DATA}/embeddings.parquet").orderBy("vec_id").collect()
+    clusters = run("ml_kmeans")
+    assert sum(r["n"] for r in clusters) == len(e) and all(0 < r["purity"] <= 1 for r in clusters)
+    # components: as many as asked, uncorrelated on the rows they were fitted on, in falling order of variance
+    fold = {r["vec_id"]: r["fold"] for r in learning.data(spark, DATA).select("vec_id", "fold").collect()}
+    x = np.array([r["components"] for r in run("ml_pca") if fold[r["vec_id"]]])
+    c = np.cov(x.T)
+    assert x.shape[1] == 16 and np.allclose(c - np.diag(np.diag(c)), 0, atol=1e-9) and (np.diff(np.diag(c)) <= 1e-9).all()
+    fitted = np.array([r["embedding"] for r in e if fold[r["vec_id"]]])
+    assert np.allclose(np.diag(c), np.sort(np.linalg.eigvalsh(np.cov(fitted.T)))[::-1][:16])
+    for name in ("ml_rf", "ml_stack", "ml_ovr_gbt"):
+        rows = run(name)
+        assert {r["vec_id"] for r in rows} == {v for v, f in fold.items() if f == 0}
+        assert np.mean([r["y_true"] == r["y_pred"] for r in rows]) > 0.05
+    importances = [r["importance"] for r in run("ml_importances")]
+    assert len(importances) == 64 and abs(sum(importances) - 1) < 1e-6 and min(importances) >= 0
+    search = run("ml_search")
+    assert [r["test"] is not None for r in search].count(True) == 1 and max(search, key=lambda r: r["val"])["test"] is not None
+    weights: dict = {}
+    for r in run("conformer_clusters"):
+        weights.setdefault(r["ensemble"], []).append(r["weight"])
+    assert all(abs(sum(w) - 1) < 1e-9 and len(w) <= 8 for w in weights.values())
+    leaders = run("greedy_clusters")
+    assert {r["place"] for r in leaders} <= set(range(8)) and len({r["ensemble"] for r in leaders}) == len(weights)
 
 
 def test_entry(spark):
