@@ -170,16 +170,16 @@ def model_complementarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 NULL_SEEDS = list(range(10))
 
 
-@query("""WITH d AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag AS f, l_discount FROM lineitem), n AS (SELECT f, count(*) AS n FROM d GROUP BY f), c AS (SELECT f, sum(n) OVER (ORDER BY f) AS upto, sum(n) OVER (ORDER BY f) - n AS since FROM n),
-s AS (SELECT s, l_discount, row_number() OVER (PARTITION BY s ORDER BY substr(md5(CAST(s AS VARCHAR) || '|' || CAST(id AS VARCHAR)), 1, 15)) - 1 AS place FROM d, (SELECT unnest(range(0, 10)) AS s)),
-h AS (SELECT s, f, avg(l_discount) AS v FROM s JOIN c ON place >= since AND place < upto GROUP BY ALL), r AS (SELECT f, avg(l_discount) AS v FROM d GROUP BY f)
-SELECT h.f AS flag, round(avg(CAST(h.v >= r.v AS DOUBLE)), 6) AS p_value, round(quantile_cont(h.v, 0.75), 6) AS null_p75 FROM h JOIN r ON h.f = r.f GROUP BY ALL""")
+@query("""WITH d AS (SELECT concat_ws('/', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_returnflag AS f, l_extendedprice FROM lineitem), n AS (SELECT f, count(*) AS n FROM d GROUP BY f), c AS (SELECT f, sum(n) OVER (ORDER BY f) AS upto, sum(n) OVER (ORDER BY f) - n AS since FROM n),
+s AS (SELECT s, l_extendedprice, row_number() OVER (PARTITION BY s ORDER BY substr(md5(CAST(s AS VARCHAR) || '|' || CAST(id AS VARCHAR)), 1, 15)) - 1 AS place FROM d, (SELECT unnest(range(0, 10)) AS s)),
+h AS (SELECT s, f, avg(l_extendedprice) AS v FROM s JOIN c ON place >= since AND place < upto GROUP BY ALL), r AS (SELECT f, avg(l_extendedprice) AS v FROM d GROUP BY f)
+SELECT h.f AS flag, round(avg(CAST(h.v >= r.v AS DOUBLE)), 6) AS p_value, round(quantile_cont(h.v, 0.75), 4) AS null_p75 FROM h JOIN r ON h.f = r.f GROUP BY ALL""")
 def null_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each flag's mean discount against those of runs with the flags dealt anew to all rows."""
-    l = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_returnflag").alias("flag"), "l_discount")
-    real = l.groupBy("flag").agg(F.avg("l_discount").alias("v"))
-    null = P.shuffled_labels(l, "id", "flag", NULL_SEEDS).groupBy(F.col("null_label").alias("flag"), "seed").agg(F.avg("l_discount").alias("v"))
-    return M.empirical_p(real, null, "flag", "v").select("flag", F.round("p_value", 6).alias("p_value"), F.round("null_p75", 6).alias("null_p75"))
+    """Each flag's mean price against those of runs with the flags dealt anew to all rows."""
+    l = table(spark, sf_dir, "lineitem").select(F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.col("l_returnflag").alias("flag"), "l_extendedprice")
+    real = l.groupBy("flag").agg(F.avg("l_extendedprice").alias("v"))
+    null = P.shuffled_labels(l, "id", "flag", NULL_SEEDS).groupBy(F.col("null_label").alias("flag"), "seed").agg(F.avg("l_extendedprice").alias("v"))
+    return M.empirical_p(real, null, "flag", "v").select("flag", F.round("p_value", 6).alias("p_value"), F.round("null_p75", 4).alias("null_p75"))
 
 
 @query("SELECT round(corr(l_quantity, l_extendedprice), 6) AS r, round(avg(CAST((l_returnflag = 'N') = (l_linestatus = 'O') AS DOUBLE)), 6) AS agreement FROM lineitem")
