@@ -13,9 +13,11 @@ from quern.sources.scratch import save
 FEW, ACCURACY = 50_000, 10_000
 
 
-def order_statistics(df: DataFrame, wanted: list[tuple[str, Callable[[int], int]]]) -> list:
+def order_statistics(df: DataFrame, wanted: list[tuple[str, Callable[[int], int]]], guess: Callable[[int, int], tuple] | None = None) -> list:
     """Of each (column, n → rank) the value at that rank (from 0) of the column's n non-null values; None for a rank outside.
 
+    ``guess``: (rank, n) → a first bracket, for columns whose distribution is known; a wrong one costs a pass.
+
     A quantile sketch brackets each value, counts check the bracket, and so on until a bracket holds at most
     ``FEW`` rows or one value: each round is one pass for all that is wanted, and narrows a bracket some
     thousandfold. Only the last bracket's value counts come to the driver.
@@ -30,34 +32,48 @@ def order_statistics(df: DataFrame, wanted: list[tuple[str, Callable[[int], int]
         c = F.col(s["column"])
         return c.isNotNull() if s["lo"] is None else c.between(F.lit(s["lo"]), F.lit(s["hi"]))
 
-    while wide := [i for i in open_ if state[i]["inside"] > FEW and not (state[i]["lo"] is not None and state[i]["lo"] == state[i]["hi"])]:
-        asks = []
-        for s in (state[i] for i in wide):
-            at = (s["rank"] - s["below"] + 0.5) / s["inside"]
-            asks.append(F.percentile_approx(F.when(within(s), F.col(s["column"])), [max(0.0, at - s["spread"]), min(1.0, at + s["spread"])], ACCURACY))
-        brackets = df.agg(*[a.alias(f"b{i}") for i, a in zip(wide, asks, strict=True)]).first()
+    def narrow(asked: list[int], brackets: list[tuple]) -> None:
+        """Counts the brackets and takes over those that hold their rank; the others widen."""
         counts = []
-        for i, (lo, hi) in zip(wide, brackets, strict=True):
+        for i, (lo, hi) in zip(asked, brackets, strict=True):
             c = F.col(state[i]["column"])
             counts += [F.count_if(c < F.lit(lo)).alias(f"l{i}"), F.count_if(c.between(F.lit(lo), F.lit(hi))).alias(f"n{i}")]
         got = df.agg(*counts).first()
-        for j, (i, (lo, hi)) in enumerate(zip(wide, brackets, strict=True)):
+        for j, (i, (lo, hi)) in enumerate(zip(asked, brackets, strict=True)):
             s, below, inside = state[i], got[2 * j], got[2 * j + 1]
             if below <= s["rank"] < below + inside:
                 s.update(lo=lo, hi=hi, below=below, inside=inside)
             else:
                 s["spread"] *= 4
+
+    def wide() -> list[int]:
+        return [i for i in open_ if state[i]["inside"] > FEW and not (state[i]["lo"] is not None and state[i]["lo"] == state[i]["hi"])]
+
+    if guess is not None and (asked := wide()):
+        narrow(asked, [guess(state[i]["rank"], state[i]["inside"]) for i in asked])
+    while asked := wide():
+        sketches = []
+        for i in asked:
+            s = state[i]
+            at = (s["rank"] - s["below"] + 0.5) / s["inside"]
+            ends = [max(0.0, at - s["spread"]), min(1.0, at + s["spread"])]
+            sketches.append(F.percentile_approx(F.when(within(s), F.col(s["column"])), ends, ACCURACY).alias(f"b{i}"))
+        narrow(asked, list(df.agg(*sketches).first()))
+    last: dict[str, list[int]] = {}
     for i in open_:
-        s = state[i]
-        if s["lo"] is not None and s["lo"] == s["hi"]:
-            out[i] = s["lo"]
-            continue
-        at = s["below"]
-        for value, n in sorted(tuple(r) for r in df.where(within(s)).groupBy(s["column"]).count().collect()):
-            at += n
-            if at > s["rank"]:
+        if state[i]["lo"] is not None and state[i]["lo"] == state[i]["hi"]:
+            out[i] = state[i]["lo"]
+        else:
+            last.setdefault(df.schema[state[i]["column"]].dataType.simpleString(), []).append(i)
+    for asks in last.values():
+        # one pass for all brackets of a type
+        each = F.array(*[F.when(within(state[i]), F.struct(F.lit(i).alias("i"), F.col(state[i]["column"]).alias("value"))) for i in asks])
+        counts = df.select(F.explode(each).alias("s")).where("s IS NOT NULL").groupBy("s.i", "s.value").count()
+        at = {i: state[i]["below"] for i in asks}
+        for i, value, n in sorted(tuple(r) for r in counts.collect()):
+            if at[i] <= state[i]["rank"] < at[i] + n:
                 out[i] = value
-                break
+            at[i] += n
     return out
 
 

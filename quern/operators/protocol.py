@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quern.functions.vectors import squared_distance
 from quern.operators import metrics as M
 from quern.operators.order import order_statistics, ranked
+from quern.sources.scratch import save
 
 #: Classes that predictions compare with: the bound of a broadcast.
 MOST_CLASSES = 10_000
@@ -105,6 +106,13 @@ def hash_place(seed: Column, key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", seed.cast("string"), key.cast("string"))), 1, 15), 16, 10).cast("long")
 
 
+def _uniform(rank: int, n: int) -> tuple[int, int]:
+    """Where the place of a rank lies among n even ones, give or take six standard deviations."""
+    p = rank / n
+    off = 6 * (p * (1 - p) / n) ** 0.5 + 6 / n
+    return int(max(0.0, p - off) * 2**60), int(min(1.0, p + off) * 2**60)
+
+
 def shuffled_labels(data: DataFrame, key: str, label: str, seeds: list[int]) -> DataFrame:
     """Rows of ``data`` for each seed with ``null_label``: the labels dealt anew in the random order of the keys.
 
@@ -116,8 +124,8 @@ def shuffled_labels(data: DataFrame, key: str, label: str, seeds: list[int]) ->
     for _, c in counts[:-1]:
         n += c
         cuts.append(n)
-    places = data.where(F.col(label).isNotNull()).select("*", *[hash_place(F.lit(s), F.col(key)).alias(f"__p{s}") for s in seeds])
-    at = order_statistics(places, [(f"__p{s}", lambda _, c=c: c) for s in seeds for c in cuts])
+    places = save(data.where(F.col(label).isNotNull()).select("*", *[hash_place(F.lit(s), F.col(key)).alias(f"__p{s}") for s in seeds]), "places")
+    at = order_statistics(places, [(f"__p{s}", lambda _, c=c: c) for s in seeds for c in cuts], _uniform)
     out = []
     for i, s in enumerate(seeds):
         dealt = F.lit(counts[-1][0])

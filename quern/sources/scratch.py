@@ -14,6 +14,34 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths made within open ``Temporary`` blocks, innermost last.
+_open: list[list[tuple[SparkSession, str]]] = []
+
+
+class Temporary:
+    """A block whose intermediate tables are removed at its end, but for those kept.
+
+    Tables made within it must be used up by then; what is written out to be kept outlives it.
+    """
+
+    def __enter__(self) -> Temporary:
+        self.kept: set[str] = set()
+        _open.append([])
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` written out, for use after the block."""
+        path = new_path(df.sparkSession, "kept")
+        df.write.parquet(path)
+        self.kept.add(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_) -> None:
+        for spark, path in _open.pop():
+            if path not in self.kept:
+                _remove(spark, path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; where unset on a single machine (tests), a temporary one is set. Unset on a cluster, it's an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,11 +57,13 @@ def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/quern/{label}-{uuid.uuid4().hex[:12]}"
     atexit.register(_remove, spark, path)
+    if _open:
+        _open[-1].append((spark, path))
     return path
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    """Best effort at interpreter exit: by then the JVM may be gone."""
+    """Best effort: at interpreter exit the JVM may be gone."""
     try:
         jvm = spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quern.functions import chem, geometry, labels, parse, vectors
 from quern.operators import audit, ensembles, graphs, order, protocol, relational
 from quern.operators import geometry as molecules
-from quern.sources import tables
+from quern.sources import scratch, tables
 from quern.streaming import incremental
 
 
@@ -114,6 +114,15 @@ def test_ranks(spark):
     assert [r["at"] for r in rows] == list(range(500)) and [r["k"] for r in rows] == sorted(keys)
 
 
+def test_temporary_tables_go_but_those_kept(spark):
+    with scratch.Temporary() as t:
+        a = scratch.save(spark.range(5), "a")
+        at = a.inputFiles()[0].rsplit("/", 1)[0]
+        b = t.keep(a.where("id > 2"))
+        assert tables.exists(spark, at)
+    assert not tables.exists(spark, at) and sorted(r["id"] for r in b.collect()) == [3, 4]
+
+
 def test_label_expressions(spark):
     rows = [(0, 0, True), (0, 1, True), (0, 1, None), (None, None, True), (None, None, None), (1, None, False)]
     df = spark.createDataFrame(rows, "a int, b int, s boolean")
