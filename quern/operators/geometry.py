@@ -48,6 +48,19 @@ def dihedrals(df: DataFrame, key: str, atoms: tuple[int, int, int, int]) -> Data
     return per_molecule(df, key, lambda x, z: [f(G.dihedral(x[list(atoms)])) for f in (np.sin, np.cos)], ["sin_tau", "cos_tau"])
 
 
+def orientations(df: DataFrame, key: str, centre: int) -> DataFrame:
+    """Of each molecule in the standard orientation: z of the centre's nearest atom, y and z of the next nearest; three atoms or more."""
+
+    def kernel(x: np.ndarray, z: np.ndarray) -> list[float]:
+        d = np.linalg.norm(x - x[centre], axis=1)
+        d[centre] = np.inf
+        first, second = np.argsort(d, kind="stable")[:2]
+        y = G.standardised(x, centre)
+        return [y[first, 2], y[second, 1], y[second, 2]]
+
+    return per_molecule(df, key, kernel, ["first_z", "second_y", "second_z"])
+
+
 def spherical_maps(df: DataFrame, key: str, centre: int = 0, **shape) -> DataFrame:
     """key, map: the flat spherical map of each molecule as it lies."""
     n = shape.get("n_theta", 10) * shape.get("n_phi", 20)

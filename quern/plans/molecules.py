@@ -138,6 +138,21 @@ def _reach(x, z) -> list[float]:
     return [d.mean(), (d + radii(z)).max()]
 
 
+@query(MOLECULES_SQL + """, d AS (SELECT a.vec_id, a.x - o.x AS x, a.y - o.y AS y, a.z - o.z AS z, row_number() OVER (PARTITION BY a.vec_id ORDER BY (a.x - o.x) ** 2 + (a.y - o.y) ** 2 + (a.z - o.z) ** 2, a.i) AS rn FROM a JOIN a o ON a.vec_id = o.vec_id AND o.i = 0 WHERE a.i > 0),
+s AS (SELECT p.vec_id, sqrt(p.x ** 2 + p.y ** 2 + p.z ** 2) AS z1, p.x * q.x + p.y * q.y + p.z * q.z AS pq, q.x ** 2 + q.y ** 2 + q.z ** 2 AS qq FROM d p JOIN d q ON p.vec_id = q.vec_id AND p.rn = 1 AND q.rn = 2)
+SELECT vec_id, round(z1, 5) AS first_z, round(sqrt(qq - (pq / z1) ** 2), 5) AS second_y, round(pq / z1, 5) AS second_z FROM s""")
+def standard_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the two atoms nearest to the first one lie once it is turned to the standard orientation."""
+    o = O.orientations(molecules(spark, sf_dir), "vec_id", 0)
+    return o.select("vec_id", *[F.round(c, 5).alias(c) for c in ("first_z", "second_y", "second_z")])
+
+
+@query()
+def face_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the atoms outside the first six, taken as a ring, block the two faces at its fourth."""
+    return O.blocking(molecules(spark, sf_dir), "vec_id", list(range(6)), 3)
+
+
 @query()
 def conformer_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conformers (the ids of a label and hundred) clustered by distance, one representative each, with weights."""

@@ -40,6 +40,14 @@ def test_queries_without_sql_hold_what_they_promise(spark):
     for r in run("conformer_clusters"):
         weights.setdefault(r["ensemble"], []).append(r["weight"])
     assert all(abs(sum(w) - 1) < 1e-9 and len(w) <= 8 for w in weights.values())
+    blocked = run("face_blocking")
+    assert len(blocked) == len(e) and all(abs(r["si_share"] + r["re_share"] - 1) < 1e-6 and abs(r["asymmetry"] - abs(r["si_share"] - r["re_share"])) < 1e-9 and 0 <= r["clash"] <= 1 for r in blocked)
+    x = np.array(e[0]["embedding"][:63]).reshape(21, 3) * 10
+    n = np.linalg.svd(x[:6] - x[:6].mean(0))[2][-1]
+    near = 1 / (np.linalg.norm(x[6:] - x[3], axis=1) + 0.5)
+    side = near[(x[6:] - x[3]) @ n > 0].sum() / near.sum()
+    own = next(r for r in blocked if r["vec_id"] == e[0]["vec_id"])
+    assert np.isclose(max(own["si_share"], own["re_share"]), max(side, 1 - side), atol=1e-6)
     leaders = run("greedy_clusters")
     assert {r["place"] for r in leaders} <= set(range(8)) and len({r["ensemble"] for r in leaders}) == len(weights)
 
