@@ -179,6 +179,16 @@ def test_bpe_equals_the_library(spark):
         assert c.decode_text(got) == c.decode(want.ids) == t.decode(want.ids, skip_special_tokens=False)
 
 
+def test_bpe_gives_ids_and_text(spark, odd):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(TOKENIZER)
+    for r in bpe.encode(odd, TOKENIZER, keep=("doc_id", "text", "run")).collect():
+        assert r["ids"] == t.encode(r["text"] or "", add_special_tokens=False).ids and r["decoded"] == t.decode(r["ids"], skip_special_tokens=False) and r["run"] == "c"
+    for r in bpe.encode_digests(odd, TOKENIZER, with_ids=True).collect():
+        assert r["n_tokens"] == len(r["ids"]) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, r["ids"])).encode()).hexdigest()
+
+
 def test_toxicity_learns_a_pair(spark):
     rng, rows = random.Random(2), []
     for i in range(1500):
