@@ -49,6 +49,7 @@ RATIO = 1.05
 BOUNDS = np.unique(np.floor(RATIO ** np.arange(int(np.log(2.0**62) / np.log(RATIO)))).astype(np.int64))
 #: No word has white space in it.
 END = b" "
+END_HASH = np.uint64(xxhash.xxh64_intdigest(END))
 #: The low half of a hash.
 LOW = np.uint64(0xFFFFFFFF)
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -88,11 +89,9 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, t), np.uint64, len(t))
 
 
-def with_pairs(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words and of the pairs of texts' word hashes, in order; none empty."""
-    w = np.concatenate(texts)
-    v = np.r_[np.uint64(end), w[:-1]]  # a text's last token is the end token, so the next one's first follows it
-    return w, pair_hash(v, w)
+def pairs_of(w: np.ndarray) -> np.ndarray:
+    """Hashes of the pairs of tokens, from the hashes of texts' words one text after another: a text's first token follows the end token."""
+    return pair_hash(np.r_[END_HASH, w[:-1]], w)
 
 
 # ---- packing
@@ -199,7 +198,8 @@ def count_ngrams(texts: DataFrame, segments: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             cols: list[list] = [[], [], [], []]
-            for n, h in enumerate(with_pairs(held, hashes[END]), 1):
+            w = np.concatenate(held)
+            for n, h in ((1, w), (2, pairs_of(w))):
                 k, c = np.unique(h, return_counts=True)
                 for i, part in by_segment(k, segments):
                     for col, x in zip(cols, (n, i, pack(k[part]), planes(c[part].astype(np.uint32))), strict=True):
@@ -241,37 +241,33 @@ def input_bytes(df: DataFrame) -> int:
 # ---- scoring
 
 
+RUNS = "run bigint, ids array<bigint>, lengths binary, kinds binary, places binary"
+
+
 def in_runs(df: DataFrame) -> DataFrame:
-    """Rows (doc_id, text) as (run, data): about ``RUN_BYTES`` of text a run, compressed."""
+    """Rows (doc_id, text) as ``RUNS``: about ``RUN_BYTES`` of text a run, as its distinct words' hashes and each token's place among them."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run, held, size = TaskContext.get().partitionId() << 32, [], 0
+        run, hashes, ids, held, size = TaskContext.get().partitionId() << 32, WordHashes(), [], [], 0
 
         def flush() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
-                for b in held:
-                    out.write_batch(b)
-            return _table({"run": ([run], pa.int64()), "data": ([sink.getvalue().to_pybytes()], pa.binary())})
+            kinds, places = np.unique(np.concatenate(held), return_inverse=True)
+            packed = planes(np.array(list(map(len, held)), np.uint32)), pack(kinds), planes(places.astype(np.uint32))
+            columns = {name: ([x], pa.binary()) for name, x in zip(("lengths", "kinds", "places"), packed, strict=True)}
+            return _table({"run": ([run], pa.int64()), "ids": ([ids], pa.list_(pa.int64()))} | columns)
 
         for b in batches:
-            done = 0
-            for i, t in enumerate(b.column(1), 1):
+            for doc_id, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                ids.append(doc_id)
+                held.append(hashes.of(t.as_py()))
                 size += len(t.as_buffer()) if t.is_valid else 0
                 if size > RUN_BYTES:
-                    held.append(b.slice(done, i - done))
                     yield flush()
-                    run, held, size, done = run + 1, [], 0, i
-            if done < len(b):
-                held.append(b.slice(done))
+                    run, ids, held, size = run + 1, [], [], 0
         if held:
             yield flush()
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(deal, "run bigint, data binary")
-
-
-def run_rows(data: bytes) -> pa.Table:
-    return pa.ipc.open_stream(data).read_all()
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(deal, RUNS)
 
 
 class Totals:
@@ -289,25 +285,22 @@ class Totals:
         one = (word + 1) / (self.total + self.types + 1)
         return np.where(before > 0, LAMBDA * np.minimum(1.0, pair / np.maximum(before, 1)) + (1 - LAMBDA) * one, one)
 
-    def score(self, texts: list[np.ndarray], end: int, answers: pa.Table) -> tuple[np.ndarray, ...]:
-        """Of each text (word hashes): tokens, known ones, base score, score. ``answers``: those for the texts' n-grams, by segment."""
+    def score(self, lengths: np.ndarray, kinds: np.ndarray, places: np.ndarray, answers: pa.Table) -> tuple[np.ndarray, ...]:
+        """Of each text of a run: known tokens, base score, score. ``answers``: those for the run's n-grams, by segment."""
         order = np.lexsort((answers["seg"].to_numpy(), answers["n"].to_numpy()))
         rows = [(n, answers["levels"][i].as_py(), answers["counts"][i].as_py()) for i, n in zip(order.tolist(), answers["n"].to_numpy()[order].tolist(), strict=True)]
         level = {n: np.concatenate([unplanes(x, np.uint16) for m, x, _ in rows if m == n]) for n in (1, 2)}
         exact = np.concatenate([unplanes(x, np.int64) for m, _, x in rows if m == 1])
-        w, pairs = with_pairs(texts, end)
-        kinds, at = np.unique(w, return_inverse=True)
-        pair_kinds, pair_at = np.unique(pairs, return_inverse=True)
-        if (len(kinds), len(pair_kinds)) != (len(level[1]), len(level[2])):
+        pairs, pair_places = np.unique(pairs_of(kinds[places]), return_inverse=True)
+        if (len(kinds), len(pairs)) != (len(level[1]), len(level[2])):
             raise ValueError("answers don't fit the run's texts")
-        n = np.fromiter(map(len, texts), np.int64, len(texts))
-        starts = np.r_[0, np.cumsum(n)[:-1]]
-        seen = self.values[1][level[1]][at]
-        before = np.r_[self.values[1][level[1]][np.searchsorted(kinds, np.uint64(end))], seen[:-1]]
-        p = self.probability(before, seen, self.values[2][level[2]][pair_at])
-        count = exact[at]
-        base = np.add.reduceat(np.log10((count + 1) / (self.total + self.types + 1)), starts)
-        return n, np.add.reduceat((count > 0).astype(np.int64), starts), base, np.add.reduceat(np.log10(p), starts)
+        starts = np.r_[0, np.cumsum(lengths)[:-1]]
+        each = self.values[1][level[1]]
+        seen = each[places]
+        before = np.r_[each[np.searchsorted(kinds, END_HASH)], seen[:-1]]
+        p = self.probability(before, seen, self.values[2][level[2]][pair_places])
+        base = np.log10((exact + 1) / (self.total + self.types + 1))[places]
+        return np.add.reduceat((exact > 0).astype(np.int64)[places], starts), np.add.reduceat(base, starts), np.add.reduceat(np.log10(p), starts)
 
 
 class Trained:
@@ -328,13 +321,11 @@ class Trained:
         dealt = save(in_runs(df), "dealt")
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
             for b in batches:
-                for run, data in zip(*b.columns, strict=True):
-                    texts = [hashes.of(t) for t in run_rows(data.as_buffer()).column(1).to_pylist()]
+                for run, kinds, places in zip(*b.columns, strict=True):
+                    kinds, places = unpack(kinds.as_buffer()), unplanes(places.as_buffer(), np.uint32)
                     cols: list[list] = [[], [], []]
-                    for n, h in enumerate(with_pairs(texts, hashes[END]), 1):
-                        k = np.unique(h)
+                    for n, k in ((1, kinds), (2, np.unique(pairs_of(kinds[places])))):
                         for i, part in by_segment(k, segments):
                             for col, x in zip(cols, (n, i, pack(k[part])), strict=True):
                                 col.append(x)
@@ -358,14 +349,15 @@ class Trained:
             counts = [planes(exact[i]) if n == 1 else b"" for i in places]
             return pa.table({"run": asked["run"], "n": asked["n"], "seg": asked["seg"], "levels": pa.array(levels, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
-        asked = dealt.mapInArrow(ask, "run bigint, n int, seg int, keys binary").groupBy("n", "seg")
+        asked = dealt.select("run", "kinds", "places").mapInArrow(ask, "run bigint, n int, seg int, keys binary").groupBy("n", "seg")
         answers = asked.cogroup(self.counts.select("n", "seg", "keys", "counts", "size", "bits").groupBy("n", "seg"))
         answers = answers.applyInArrow(answer, "run bigint, n int, seg int, levels binary, counts binary")
 
-        def run(texts: pa.Table, answered: pa.Table) -> pa.Table:
-            hashes, rows = WordHashes(), run_rows(texts["data"][0].as_buffer())
-            n, known, base, score = shared.value.score([hashes.of(t) for t in rows.column(1).to_pylist()], hashes[END], answered)
-            return pa.table({"doc_id": rows.column(0), "n_tokens": n, "n_known": known, "base_score": base, "score": score})
+        def run(dealt: pa.Table, answered: pa.Table) -> pa.Table:
+            lengths, kinds, places = (dealt[c][0].as_buffer() for c in ("lengths", "kinds", "places"))
+            lengths = unplanes(lengths, np.uint32).astype(np.int64)
+            known, base, score = shared.value.score(lengths, unpack(kinds), unplanes(places, np.uint32), answered)
+            return pa.table({"doc_id": dealt["ids"][0].values, "n_tokens": lengths, "n_known": known, "base_score": base, "score": score})
 
         scored = dealt.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(run, "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
         return scored.select("doc_id", "n_tokens", "n_known", F.lit(self.totals.total).cast("long").alias("train_tokens"), "base_score", "score")
