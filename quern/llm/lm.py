@@ -241,19 +241,34 @@ def input_bytes(df: DataFrame) -> int:
 # ---- scoring
 
 
-RUNS = "run bigint, ids array<bigint>, lengths binary, kinds binary, places binary"
+RUNS = "run bigint, ids array<bigint>, lengths binary, kinds binary, counts binary, ranks binary"
+
+
+def by_frequency(counts: np.ndarray) -> np.ndarray:
+    """The places of a run's words, commonest first."""
+    return np.argsort(-counts.astype(np.int64), kind="stable")
+
+
+def run_words(kinds: pa.Scalar, counts: pa.Scalar, ranks: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """A run's distinct hashes, and each token's place among them."""
+    return unpack(kinds.as_buffer()), by_frequency(unplanes(counts.as_buffer(), np.uint32))[unplanes(ranks.as_buffer(), np.uint32)]
 
 
 def in_runs(df: DataFrame) -> DataFrame:
-    """Rows (doc_id, text) as ``RUNS``: about ``RUN_BYTES`` of text a run, as its distinct words' hashes and each token's place among them."""
+    """Rows (doc_id, text) as ``RUNS``: about ``RUN_BYTES`` of text a run, as its distinct words' hashes and each token's rank among them.
+
+    Ranks run from the run's commonest word down, so that most are small and compress well.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, hashes, ids, held, size = TaskContext.get().partitionId() << 32, WordHashes(), [], [], 0
 
         def flush() -> pa.RecordBatch:
-            kinds, places = np.unique(np.concatenate(held), return_inverse=True)
-            packed = planes(np.array(list(map(len, held)), np.uint32)), pack(kinds), planes(places.astype(np.uint32))
-            columns = {name: ([x], pa.binary()) for name, x in zip(("lengths", "kinds", "places"), packed, strict=True)}
+            kinds, places, counts = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+            rank = np.empty(len(kinds), np.uint32)
+            rank[by_frequency(counts)] = np.arange(len(kinds), dtype=np.uint32)
+            packed = planes(np.array(list(map(len, held)), np.uint32)), pack(kinds), planes(counts.astype(np.uint32)), planes(rank[places])
+            columns = {name: ([x], pa.binary()) for name, x in zip(("lengths", "kinds", "counts", "ranks"), packed, strict=True)}
             return _table({"run": ([run], pa.int64()), "ids": ([ids], pa.list_(pa.int64()))} | columns)
 
         for b in batches:
@@ -322,8 +337,8 @@ class Trained:
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for run, kinds, places in zip(*b.columns, strict=True):
-                    kinds, places = unpack(kinds.as_buffer()), unplanes(places.as_buffer(), np.uint32)
+                for run, *words in zip(*b.columns, strict=True):
+                    kinds, places = run_words(*words)
                     cols: list[list] = [[], [], []]
                     for n, k in ((1, kinds), (2, np.unique(pairs_of(kinds[places])))):
                         for i, part in by_segment(k, segments):
@@ -349,14 +364,13 @@ class Trained:
             counts = [planes(exact[i]) if n == 1 else b"" for i in places]
             return pa.table({"run": asked["run"], "n": asked["n"], "seg": asked["seg"], "levels": pa.array(levels, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
-        asked = dealt.select("run", "kinds", "places").mapInArrow(ask, "run bigint, n int, seg int, keys binary").groupBy("n", "seg")
+        asked = dealt.select("run", "kinds", "counts", "ranks").mapInArrow(ask, "run bigint, n int, seg int, keys binary").groupBy("n", "seg")
         answers = asked.cogroup(self.counts.select("n", "seg", "keys", "counts", "size", "bits").groupBy("n", "seg"))
         answers = answers.applyInArrow(answer, "run bigint, n int, seg int, levels binary, counts binary")
 
         def run(dealt: pa.Table, answered: pa.Table) -> pa.Table:
-            lengths, kinds, places = (dealt[c][0].as_buffer() for c in ("lengths", "kinds", "places"))
-            lengths = unplanes(lengths, np.uint32).astype(np.int64)
-            known, base, score = shared.value.score(lengths, unpack(kinds), unplanes(places, np.uint32), answered)
+            lengths = unplanes(dealt["lengths"][0].as_buffer(), np.uint32).astype(np.int64)
+            known, base, score = shared.value.score(lengths, *run_words(*(dealt[c][0] for c in ("kinds", "counts", "ranks"))), answered)
             return pa.table({"doc_id": dealt["ids"][0].values, "n_tokens": lengths, "n_known": known, "base_score": base, "score": score})
 
         scored = dealt.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(run, "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
