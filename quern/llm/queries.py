@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ann, bpe, langid, line_dedup, lm, mixing, simhash, sketch, toxicity, warc
+from quern.llm import ann, bpe, chat, divergence, langid, line_dedup, lm, merkle, mixing, simhash, sketch, toxicity, warc
 from quern.llm.work import table
 
 
@@ -67,5 +67,26 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_document_fingerprints, op3_bpe_codec, op4_toxicity, op5_mix_sources, op6_simhash_links, op7_lm_scores, op8_line_dedup, op9_nearest_vectors, op10_warc_round_trip)}
-ORACLES = {"op5_mix_sources": mixing.MIX_SQL, "op8_line_dedup": line_dedup.LINES_SQL, "op10_warc_round_trip": warc.WARC_SQL}
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(chat.formatted(chat.with_trial(table(spark, sf_dir, "conversations"))))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_document_fingerprints, op3_bpe_codec, op4_toxicity, op5_mix_sources, op6_simhash_links, op7_lm_scores, op8_line_dedup, op9_nearest_vectors,
+        op10_warc_round_trip, op11_chat_formatting, op12_source_divergence, op13_merkle_manifest,
+    )
+}
+ORACLES = {
+    "op5_mix_sources": mixing.MIX_SQL, "op8_line_dedup": line_dedup.LINES_SQL, "op10_warc_round_trip": warc.WARC_SQL, "op11_chat_formatting": chat.CHAT_SQL,
+    "op12_source_divergence": divergence.AUDIT_SQL, "op13_merkle_manifest": merkle.manifest_sql(),
+}
