@@ -371,8 +371,9 @@ def _parents(trees: list[Tree], wanted: dict[int, dict[int, int | None]], tables
 
 
 def predict(model, df: DataFrame, keep: list[str], name: str = "y_pred", scores: str | None = None) -> DataFrame:
-    """``keep`` columns, the class of the highest score (ties to the first class), null for vectors of another length; and all ``scores`` where named."""
-    kind = "string" if isinstance(model.classes[0], str) else "double" if isinstance(model.classes[0], float) else "bigint"
+    """``keep`` columns, the class of the highest score (ties to the first class), null for vectors of another length and from a fit without rows; and all ``scores`` where named."""
+    first = next(iter(model.classes), 0)
+    kind = "string" if isinstance(first, str) else "double" if isinstance(first, float) else "bigint"
     width, types = model.width, [df.schema[c].dataType.simpleString() for c in keep]
     schema = ", ".join([*[f"`{c}` {t}" for c, t in zip(keep, types, strict=True)], f"`{name}` {kind}", *([f"`{scores}` array<double>"] if scores else [])])
     rows = df.select(*keep, F.when(F.size("x") == width, F.col("x").cast("array<double>")).alias("__x"))
@@ -382,8 +383,8 @@ def predict(model, df: DataFrame, keep: list[str], name: str = "y_pred", scores:
             x = b.column("__x")
             has = x.is_valid().to_numpy(zero_copy_only=False)
             s = model.scores(matrix(x.drop_null(), width))
-            best = iter(s.argmax(1) if len(s) else ())
-            label = pa.array([model.classes[next(best)] if ok else None for ok in has], {"string": pa.string(), "double": pa.float64(), "bigint": pa.int64()}[kind])
+            best = iter(s.argmax(1) if s.size else ())
+            label = pa.array([model.classes[next(best)] if ok and s.size else None for ok in has], {"string": pa.string(), "double": pa.float64(), "bigint": pa.int64()}[kind])
             columns, names = [*b.columns[:-1], label], [*keep, name]
             if scores:
                 each = iter(s.tolist())
