@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quern.operators import forests, shap, trees
 from quern.plans.common import Registry, table
 from quern.plans.protocol import E_SQL, data
+from quern.sources.scratch import save
 
 REGISTRY = Registry()
 query = REGISTRY.add
@@ -27,10 +28,13 @@ def features(text: Column) -> Column:
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, y (quality and toxicity as one label), x, fold of each labelled document with a text."""
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").where("quality IS NOT NULL AND toxic IS NOT NULL")
-    d = docs.where("text IS NOT NULL").join(labels, "doc_id")
-    return d.select(F.col("doc_id").alias("id"), F.concat("quality", "toxic").alias("y"), features(F.col("text")).alias("x"), F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("fold"))
+    """id, y (quality and toxicity as one label), x, fold of each labelled document with a text.
+
+    Features are counted in the scan and written once: no text is shuffled, and a fit's passes read numbers only.
+    """
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", features(F.col("text")).alias("x"))
+    d = docs.join(table(spark, sf_dir, "labels").where("quality IS NOT NULL AND toxic IS NOT NULL"), "doc_id")
+    return save(d.select(F.col("doc_id").alias("id"), F.concat("quality", "toxic").alias("y"), "x", F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("fold")), "labelled")
 
 
 def _fold() -> Column:
