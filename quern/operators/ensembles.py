@@ -120,8 +120,13 @@ def pairs_within(df: DataFrame, group: str, key: str, vector: str, radius: float
 
 
 def message_pass(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
-    """(node, value), edges (src, dst): each round a node's value becomes half its own plus half its in-neighbours' mean."""
+    """(node, value), edges (src, dst): each round a node's value becomes half its own plus half its in-neighbours' mean.
+
+    Edges are written once and values each round, so that a round's plan reads two tables however many came before.
+    """
+    edges = save(edges.select("src", "dst"), "edges")
     for _ in range(rounds):
+        nodes = save(nodes, "nodes")
         m = edges.join(nodes.select(F.col("node").alias("src"), "value"), "src").groupBy("dst").agg(F.avg("value").alias("m"))
         nodes = nodes.join(m, nodes["node"] == m["dst"], "left").select("node", (F.col("value") * 0.5 + F.coalesce("m", "value") * 0.5).alias("value"))
     return nodes

@@ -32,15 +32,18 @@ def take(x: str, components: list[int] | None) -> Column:
 
 
 def predict(test: DataFrame, centres: DataFrame, by: list[str] = [], components: list[int] | None = None) -> DataFrame:  # noqa: B006
-    """``test`` with y_pred: the class of the nearest centroid, ties to the smallest class."""
+    """``test`` with y_pred: the class of the nearest centroid, ties to the smallest class.
+
+    A group's centroids, their number checked, are broadcast as one row: each test row is judged in place, none is shuffled.
+    """
     n = centres.limit(MOST_CLASSES + 1).count()
     if n > MOST_CLASSES:
         raise ValueError(f"more than {MOST_CLASSES} classes")
-    c = F.broadcast(centres.withColumnRenamed("y", "__y"))
-    pairs = test.join(c, by) if by else test.crossJoin(c)
-    rest = [x for x in test.columns if x != "id"]
-    near = F.struct(squared_distance(take("x", components), F.col("c")).alias("d"), F.col("__y"))
-    return pairs.groupBy("id").agg(F.min(near).alias("m"), *[F.first(x).alias(x) for x in rest]).select("id", *rest, F.col("m.__y").alias("y_pred"))
+    each = centres.groupBy(*by).agg(F.collect_list(F.struct(F.col("y").alias("k"), "c")).alias("__cs")).where(F.size("__cs") > 0)
+    pairs = test.join(F.broadcast(each), by) if by else test.crossJoin(F.broadcast(each))  # one row
+    x = take("x", components)
+    near = F.array_min(F.transform("__cs", lambda s: F.struct(squared_distance(x, s["c"]).alias("d"), s["k"].alias("k"))))
+    return pairs.select(*test.columns, near["k"].alias("y_pred"))
 
 
 def scored(p: DataFrame, by: list[str]) -> DataFrame:
@@ -57,7 +60,7 @@ def compared(data: DataFrame, splits: DataFrame, models: dict[str, list[int] | N
     rows = splits.join(data.withColumnRenamed("id", "row_id"), "row_id")
     sizes = rows.groupBy("split_name").agg(F.count_if(F.col("role") == "train").alias("n_train"), F.count_if(F.col("role") == "test").alias("n_test"))
     sizes = sizes.where((F.col("n_train") >= least[0]) & (F.col("n_test") >= least[1]))
-    rows = rows.join(sizes.select("split_name", "n_train"), "split_name")
+    rows = save(rows.join(sizes.select("split_name", "n_train"), "split_name"), "compared")
     train = rows.where("role = 'train'")
     test = rows.where("role = 'test'").select(F.concat_ws("|", "split_name", "row_id").alias("id"), "split_name", "n_train", "y", "x")
     out = None
@@ -68,7 +71,7 @@ def compared(data: DataFrame, splits: DataFrame, models: dict[str, list[int] | N
             p = predict(test, centroids(train, ["split_name"], components), ["split_name"], components)
         part = p.select(F.lit(name).alias("model"), "split_name", "n_train", "y", "y_pred")
         out = part if out is None else out.unionByName(part)
-    return scored(out, ["model", "split_name", "n_train"])
+    return scored(save(out, "predictions"), ["model", "split_name", "n_train"])
 
 
 def honest(p: DataFrame, gold: Column, least: int = 5) -> DataFrame:
@@ -152,24 +155,37 @@ def null_importance(data: DataFrame, seeds: list[int], noise: float = 0.25) -> D
     return real.join(p, "pos").withColumn("noise", F.col("p_value") > noise)
 
 
+def _another(test: DataFrame, seed: int) -> DataFrame:
+    """__at, __x: the vectors in the hashed order of the ids."""
+    return ranked(test.select("id", hash_place(F.lit(seed), F.col("id")).alias("__p"), F.col("x").alias("__x")), ["__p", "id"], "__at").select("__at", "__x")
+
+
+def _swapped(components: list[int]) -> Column:
+    return F.transform("x", lambda v, i: F.when(i.isin(components), F.get("__x", i)).otherwise(v))
+
+
 def permuted(test: DataFrame, seed: int, components: list[int]) -> DataFrame:
     """``test`` with the given components taken from another row: the one at the same place in the hashed order.
 
     Both orders are distributed ranks joined by place.
     """
-    own = ranked(test, ["id"], "__at")
-    other = ranked(test.select("id", hash_place(F.lit(seed), F.col("id")).alias("__p"), F.col("x").alias("__x")), ["__p", "id"], "__at")
-    x = F.transform("x", lambda v, i: F.when(i.isin(components), F.get("__x", i)).otherwise(v))
-    return own.join(other.select("__at", "__x"), "__at").withColumn("x", x).drop("__at", "__x")
+    return ranked(test, ["id"], "__at").join(_another(test, seed), "__at").withColumn("x", _swapped(components)).drop("__at", "__x")
+
+
+def permuted_groups(test: DataFrame, seed: int, groups: dict[str, list[int]], own: DataFrame) -> DataFrame:
+    """group, id, y, x: ``permuted`` for each group of components by one join; ``own``: ``test`` ranked by id as __at."""
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("group"), _swapped(c).alias("x")) for name, c in groups.items()]))
+    return own.join(_another(test, seed), "__at").select("id", "y", each.alias("__g")).select("__g.group", "id", "y", "__g.x")
 
 
 def permutation_importance(test: DataFrame, centres: DataFrame, groups: dict[str, list[int]], seeds: list[int], gold: Column) -> DataFrame:
     """group, full_drop, gold_drop: by how much balanced accuracy falls, on the mean over seeds, when a group of components is permuted."""
-    runs = predict(test, centres).select(F.lit("").alias("group"), F.lit(-1).alias("seed"), gold.alias("gold"), "y", "y_pred")
-    for name, components in groups.items():
-        for s in seeds:
-            runs = runs.unionByName(predict(permuted(test, s, components), centres).select(F.lit(name).alias("group"), F.lit(s).alias("seed"), gold.alias("gold"), "y", "y_pred"))
-    runs = runs.withColumnRenamed("y", "y_true")
+    own = ranked(test.select("id", "y", "x"), ["id"], "__at")
+    rows = test.select(F.lit("").alias("group"), F.lit(-1).alias("seed"), "id", "y", "x")
+    for s in seeds:
+        rows = rows.unionByName(permuted_groups(test, s, groups, own).withColumn("seed", F.lit(s)))
+    judged = predict(rows, centres).select("group", "seed", gold.alias("gold"), F.col("y").alias("y_true"), "y_pred")
+    runs = save(judged, "permuted")
     full = M.balanced_accuracy(runs, ["group", "seed"]).withColumnRenamed("bal_acc", "full")
     part = M.balanced_accuracy(runs.where("gold"), ["group", "seed"]).withColumnRenamed("bal_acc", "part")
     means = full.join(part, ["group", "seed"]).groupBy("group").agg(F.avg("full").alias("full"), F.avg("part").alias("part"))

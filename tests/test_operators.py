@@ -340,3 +340,32 @@ def test_sources(spark, tmp_path):
         tables.read_csv_known(spark, str(tmp_path / "l.csv"), ["q"])
     (tmp_path / "s.json").write_text('{"train": [1, 2], "val": [3], "test": []}')
     assert sorted(tuple(r) for r in tables.read_splits(spark, str(tmp_path)).collect()) == [("s", "train", 1), ("s", "train", 2), ("s", "val", 3)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_predictions_shuffle_no_test_row(spark):
+    rows = [(i, i % 3, [float(i % 3), float(i % 7)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, y long, x array<double>")
+    centres = scratch.save(protocol.centroids(df.where("id >= 20")), "centres")
+    out = protocol.predict(df.where("id < 20"), centres)
+    plan = _plan(out)
+    assert plan.count("BroadcastNestedLoopJoin") == 1 and "hashpartitioning(id" not in plan and "SortMergeJoin" not in plan
+    c = {r["y"]: r["c"] for r in centres.collect()}
+    for r in out.collect():
+        assert r["y_pred"] == min(c, key=lambda k: (sum((a - b) ** 2 for a, b in zip(r["x"], c[k], strict=True)), k))
+    assert protocol.predict(df, centres.where("y < 0")).count() == 0
+
+
+def test_messages_read_two_tables_a_round(spark):
+    nodes = spark.createDataFrame([(i, float(i)) for i in range(5)], "node long, value double")
+    edges = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (3, 2)], "src long, dst long")
+    out = ensembles.message_pass(nodes, edges, 5)
+    assert _plan(out).count("FileScan parquet") == 3
+    want = {i: float(i) for i in range(5)}
+    for _ in range(5):
+        into = {d: [want[s] for s, t in [(0, 1), (1, 2), (2, 0), (3, 2)] if t == d] for d in want}
+        want = {n: v / 2 + (sum(into[n]) / len(into[n]) if into[n] else v) / 2 for n, v in want.items()}
+    assert {r["node"]: r["value"] for r in out.collect()} == pytest.approx(want)
