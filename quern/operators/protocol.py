@@ -109,7 +109,7 @@ def hash_place(seed: Column, key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", seed.cast("string"), key.cast("string"))), 1, 15), 16, 10).cast("long")
 
 
-def _uniform(rank: int, n: int) -> tuple[int, int]:
+def even_places(rank: int, n: int) -> tuple[int, int]:
     """Where the place of a rank lies among n even ones, give or take six standard deviations."""
     p = rank / n
     off = 6 * (p * (1 - p) / n) ** 0.5 + 6 / n
@@ -128,7 +128,7 @@ def shuffled_labels(data: DataFrame, key: str, label: str, seeds: list[int]) ->
         n += c
         cuts.append(n)
     places = save(data.where(F.col(label).isNotNull()).select("*", *[hash_place(F.lit(s), F.col(key)).alias(f"__p{s}") for s in seeds]), "places")
-    at = order_statistics(places, [(f"__p{s}", lambda _, c=c: c) for s in seeds for c in cuts], _uniform)
+    at = order_statistics(places, [(f"__p{s}", lambda _, c=c: c) for s in seeds for c in cuts], even_places)
     out = []
     for i, s in enumerate(seeds):
         dealt = F.lit(counts[-1][0])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 
 from quern.functions import parse
 from quern.operators.order import order_statistics, quantiles, ranked
+from quern.operators.protocol import even_places, hash_place
+from quern.sources.scratch import save
 
 
 def lookup(df: DataFrame, dim: DataFrame, key: str, value: str, default) -> DataFrame:
@@ -99,6 +103,25 @@ def group_split(df: DataFrame, row_id: str, group: str, seeds: list[int], test:
     return rows.select(F.concat(F.lit(name), seed).alias("split_name"), "row_id", "group", role.alias("role"))
 
 
+def exact_group_split(df: DataFrame, row_id: str, group: str, seeds: list[int], test: str = "1/5", val: str = "1/8", name: str = "exact_seed") -> DataFrame:
+    """As ``group_split``, with exact shares of groups: of each seed's hashed order of the groups the first ceil(test n) test, the next ceil(val m) of the m others val.
+
+    Where the order is cut is looked up for all seeds in the same passes over the groups (exact order statistics),
+    none of them is sorted; a row's role follows from its own group's place: the rows take part in one scan and no
+    join. Null groups are one group, the empty one. Groups at the same place (60 bits) would share a role.
+    """
+    key = F.coalesce(F.col(group).cast("string"), F.lit(""))
+    groups = save(df.select(key.alias("__g")).distinct().select(*[hash_place(F.lit(s), F.col("__g")).alias(f"p{s}") for s in seeds]), "groups")
+    first = lambda n: math.ceil(n * Fraction(test))
+    second = lambda n: first(n) + math.ceil((n - first(n)) * Fraction(val))
+    cuts = order_statistics(groups, [(f"p{s}", up) for s in seeds for up in (first, second)], even_places)
+    above = [F.lit(2**60 if c is None else c) for c in cuts]  # None: no group lies beyond
+    splits = [F.struct(F.lit(f"{name}{s}").alias("split_name"), hash_place(F.lit(s), key).alias("p"), above[2 * i].alias("a"), above[2 * i + 1].alias("b")) for i, s in enumerate(seeds)]
+    rows = df.select(F.col(row_id).alias("row_id"), F.col(group).alias("group"), F.explode(F.array(*splits)).alias("s"))
+    role = F.when(F.col("s.p") < F.col("s.a"), "test").when(F.col("s.p") < F.col("s.b"), "val").otherwise("train")
+    return rows.select(F.col("s.split_name").alias("split_name"), "row_id", "group", role.alias("role"))
+
+
 def split_report(splits: DataFrame) -> DataFrame:
     """Of each split: rows, rows in more than one role, groups in both train and test."""
     rows = splits.groupBy("split_name", "row_id").agg(F.count_distinct("role").alias("roles")).groupBy("split_name").agg(F.count("*").alias("n_rows"), F.sum((F.col("roles") > 1).cast("long")).alias("overlapping"))

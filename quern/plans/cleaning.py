@@ -142,6 +142,23 @@ def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _group_splits(spark, sf_dir).select("split_name", "row_id", "role")
 
 
+def exact_sql(rows: str, key: str, row_id: str, seeds: list[int]) -> str:
+    """Groups ranked by the hash of (seed, group); the first ceil(n / 5) test, the next ceil(m / 8) of the m others val."""
+    place = "substr(md5(CAST(seed AS VARCHAR) || '|' || g), 1, 15)"
+    return f"""WITH d AS (SELECT {row_id} AS row_id, coalesce(CAST({key} AS VARCHAR), '') AS g FROM {rows}), o AS (SELECT g, seed, row_number() OVER (PARTITION BY seed ORDER BY {place}) AS k, count(*) OVER (PARTITION BY seed) AS n
+  FROM (SELECT DISTINCT g FROM d), (SELECT unnest({seeds}) AS seed)),
+c AS (SELECT *, (n + 4) // 5 AS t FROM o)
+SELECT 'exact_seed' || seed AS split_name, row_id, CASE WHEN k <= t THEN 'test' WHEN k <= t + (n - t + 7) // 8 THEN 'val' ELSE 'train' END AS role FROM d JOIN c USING (g)"""
+
+
+@query(exact_sql("documents", "coalesce(lang, '') || '/' || coalesce(source, '') || '/' || coalesce(n_chars, 0) // 50", "doc_id", SEEDS))
+def exact_group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a language, source and length class stay together; exact shares of groups for every seed."""
+    length = F.floor(F.coalesce("n_chars", F.lit(0)) / 50).cast("string")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")), length).alias("g"))
+    return R.exact_group_split(d, "doc_id", "g", SEEDS).select("split_name", "row_id", "role")
+
+
 @query(group_sql("strftime(o_orderdate, '%Y%m') || o_orderpriority", "scaffold", [42], 0.15 / 0.8) + "SELECT split_name, row_id, role FROM r")
 def scaffold_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over a derived structure in place of a group id: here the month and priority."""

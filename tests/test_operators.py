@@ -369,3 +369,20 @@ def test_messages_read_two_tables_a_round(spark):
         into = {d: [want[s] for s, t in [(0, 1), (1, 2), (2, 0), (3, 2)] if t == d] for d in want}
         want = {n: v / 2 + (sum(into[n]) / len(into[n]) if into[n] else v) / 2 for n, v in want.items()}
     assert {r["node"]: r["value"] for r in out.collect()} == pytest.approx(want)
+
+
+@pytest.mark.parametrize("n", [1, 4, 5, 7, 16, 101])
+def test_exact_group_split_has_exact_shares(spark, n):
+    rows = [(i, None if i % n == 0 else f"g{i % n}") for i in range(3 * n)]
+    out = relational.exact_group_split(spark.createDataFrame(rows, "id long, g string"), "id", "g", [1, 2]).collect()
+    for seed in (1, 2):
+        role = {}
+        for r in out:
+            if r["split_name"] == f"exact_seed{seed}":
+                role.setdefault(r["group"], set()).add(r["role"])
+        assert len(role) == n and all(len(x) == 1 for x in role.values())
+        test = -(-n // 5)
+        counts = [sum(x == {name} for x in role.values()) for name in ("test", "val", "train")]
+        assert counts == [test, -(-(n - test) // 8), n - test - -(-(n - test) // 8)]
+    assert len(out) == 6 * n
+    assert relational.exact_group_split(spark.createDataFrame([], "id long, g string"), "id", "g", [1]).collect() == []
