@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import cleaning, evaluation, fitted, labels, learning, molecules, parsing, protocol, trees, vectors
+from quern.plans import cleaning, evaluation, fitted, labels, learning, molecules, parsing, protocol, substructures, trees, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (cleaning, labels, parsing, evaluation, vectors, molecules, protocol, learning, trees, fitted):
+for _module in (cleaning, labels, parsing, evaluation, vectors, molecules, protocol, learning, trees, fitted, substructures):
     QUERIES |= _module.REGISTRY.queries
     ORACLES |= _module.REGISTRY.oracles
