@@ -16,6 +16,8 @@ from quern.sources.scratch import save
 
 #: Queries of a neighbour search that are broadcast together.
 CHUNK = 20_000
+#: Rows of a block in a search for close pairs.
+BLOCK = 4096
 #: Fixed value: kT in kcal/mol at 298 K.
 KT = 0.5922
 
@@ -106,17 +108,95 @@ def centroid_distances(df: DataFrame, category: str, vector: str) -> DataFrame:
     return a.join(b, "pos").where("a < b").groupBy("a", "b").agg(F.sqrt(F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y")))).alias("distance"))
 
 
-def pairs_within(df: DataFrame, group: str, key: str, vector: str, radius: float, axes: int = 2) -> DataFrame:
-    """Pairs of a group at ``radius`` or less.
+def pairs_within(df: DataFrame, group: str, key: str, vector: str, radius: float, axes: int = 2, block: int = BLOCK) -> DataFrame:
+    """Pairs of a group at ``radius`` or less: group, i, j (the keys, i < j), distance. Rows of equal keys make no pair with each other.
 
-    The first ``axes`` components cut space into cells as wide as the radius. A row meets the rows of its own
-    and the adjoining cells only; the distance decides.
+    The first ``axes`` components cut space into cells a little wider than the radius, so that pairs lie in one cell or in
+    adjoining ones; a cell of more than ``block`` rows is dealt into blocks by hash. A task holds two blocks at a time and
+    compares them by matrix products; the distances of what these leave are made component by component and decide. Vectors
+    that are null or hold null or non-finite components, and those of unequal length, are in no pair.
     """
-    cell = F.array(*[F.floor(F.get(vector, F.lit(i)).cast("double") / radius) for i in range(axes)])
-    near = F.array(*[F.array(*[F.get("__cell", F.lit(i)) + d for i, d in enumerate(ds)]) for ds in product((-1, 0, 1), repeat=axes)])
-    a = df.select(group, F.col(key).alias("i"), F.col(vector).alias("x"), cell.alias("__cell"))
-    b = df.select(group, F.col(key).alias("j"), F.col(vector).alias("y"), cell.alias("__cell")).withColumn("__cell", F.explode(near))
-    return a.join(b, [group, "__cell"]).where("i < j").select(group, "i", "j", distance(F.col("x"), F.col("y")).alias("distance")).where(F.col("distance") <= radius)
+    kind = df.schema[vector].dataType.elementType.simpleString()
+    kind = kind if kind == "float" else "double"
+    at = lambda i: F.coalesce(F.get("x", F.lit(i)).cast("double"), F.lit(0.0))
+    # wider than the radius by more than a quotient is rounded; what lies very far out shares the outermost cells
+    width = radius * (1 + 1e-6) if radius > 0 else 1.0
+    place = lambda i: F.floor(F.greatest(F.lit(-1e9), F.least(F.lit(1e9), at(i) / width)))
+    rows = df.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(vector).cast(f"array<{kind}>").alias("x")).where("g IS NOT NULL AND k IS NOT NULL AND x IS NOT NULL")
+    rows = rows.where(F.forall("x", lambda c: c.isNotNull() & (F.abs(c.cast("double")) < float("inf"))))
+    # vectors of other lengths are in cells of their own
+    rows = rows.withColumn("cell", F.array(F.size("x").cast("long"), *[place(i) for i in range(axes)]))
+
+    parts = save(rows.groupBy("g", "cell").agg(F.count("*").alias("n"), F.ceil(F.count("*") / block).cast("int").alias("parts")), "cells")
+    near = F.array(*[F.array(F.get("cell", F.lit(0)), *[F.get("cell", F.lit(i + 1)) + d for i, d in enumerate(ds)]) for ds in product((-1, 0, 1), repeat=axes)])
+    meets = parts.select("g", F.col("cell").alias("own"), "n", "parts", F.explode(near).alias("cell")).join(parts.select("g", "cell", F.col("parts").alias("others")), ["g", "cell"])
+    cells = save(meets.groupBy("g", "own").agg(F.first("n").alias("n"), F.first("parts").alias("parts"), F.collect_list(F.struct("cell", "others")).alias("near")), "cells")
+    sent = cells.agg(F.sum(F.col("n") * F.aggregate("near", F.lit(0), lambda s, c: s + c["others"]))).first()[0] or 0
+
+    own = F.struct("cell", F.pmod(F.xxhash64("k", "x"), F.col("parts")).cast("int").alias("part"))
+    dealt = rows.join(cells.select("g", F.col("own").alias("cell"), "parts", "near"), ["g", "cell"]).withColumn("own", own).withColumn("c", F.explode("near"))
+    dealt = dealt.withColumn("other", F.explode(F.transform(F.sequence(F.lit(0), F.col("c.others") - 1), lambda n: F.struct(F.col("c.cell").alias("cell"), n.alias("part")))))
+    lo, hi = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(F.col("own") == F.col("other"), 0).when(lo == F.col("own"), 1).otherwise(2)
+    dealt = dealt.select("g", lo.alias("lo"), hi.alias("hi"), side.alias("side"), "k", "x")
+    by = ("g", "lo", "hi")
+    dealt = dealt.repartition(sent // BLOCK + 1, *by).sortWithinPartitions(*by)
+    # a number for each run of a tile's rows, so that the tasks need not compare cells
+    dealt = dealt.select("g", F.xxhash64(*by).alias("tile"), "side", "k", "x")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held = None, []
+        for b in batches:
+            names = b.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                if names[lo] != tile:
+                    yield from _close(held, radius)
+                    tile, held = names[lo], []
+                held.append(b.slice(lo, hi - lo))
+        yield from _close(held, radius)
+
+    kinds = {c: dealt.schema[c].dataType.simpleString() for c in ("g", "k")}
+    found = dealt.mapInArrow(run, f"g {kinds['g']}, a {kinds['k']}, b {kinds['k']}, distance double").where("a <> b")
+    return found.select(F.col("g").alias(group), F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "distance")
+
+
+def _close(held: list[pa.RecordBatch], radius: float) -> Iterator[pa.RecordBatch]:
+    """g, a, b, distance of a tile's close pairs; columns g, tile, side (0: all with each other; else 1 with 2), k, x."""
+    t = pa.Table.from_batches(held).combine_chunks() if held else []
+    if len(t) < 2:
+        return
+    side, names, n = t["side"].to_numpy(), t["k"].combine_chunks(), len(t)
+    x = t["x"].combine_chunks().flatten().to_numpy().reshape(n, -1).astype(np.float64)
+    left, right = (np.arange(n), np.arange(n)) if side[0] == 0 else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
+    if not (len(left) and len(right)):
+        return
+    with np.errstate(all="ignore"):
+        size = (x * x).sum(1)
+        # squares so large that products could overflow are left to the exact distance, as is all within the rounding of a product
+        large = ~(size < 1e200)
+        size[large] = 0
+        base, y, columns = size * (1 - 1e-9), np.where(large[:, None], 0, x), np.ascontiguousarray(x.T)
+        for at in range(0, len(left), 256):
+            rows = left[at : at + 256]
+            near = base[rows][:, None] + base[right] - 2 * (y[rows] @ y[right].T) <= radius * radius * (1 + 1e-9)
+            near |= large[rows][:, None] | large[right]
+            if side[0] == 0:
+                near &= rows[:, None] < right
+            one, two = np.nonzero(near)
+            one, two = rows[one], right[two]
+            for cut in range(0, len(one), 65536):
+                a, b = one[cut : cut + 65536], two[cut : cut + 65536]
+                total = np.zeros(len(a))
+                for c in columns:
+                    d = c[a] - c[b]
+                    total += d * d
+                distance = np.sqrt(total)
+                kept = np.flatnonzero(distance <= radius)
+                if len(kept):
+                    yield pa.RecordBatch.from_arrays([pa.repeat(t["g"][0], len(kept)), names.take(pa.array(a[kept])), names.take(pa.array(b[kept])), pa.array(distance[kept])], names=["g", "a", "b", "distance"])
 
 
 def message_pass(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:

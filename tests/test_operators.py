@@ -150,6 +150,27 @@ def test_neighbours_and_pairs_equal_brute_force(spark):
         assert pairs == {(i, j) for i in range(300) for j in range(i + 1, 300) if i % 2 == j % 2 and d[i, j] <= 1.3} and pairs
 
 
+def test_pairs_within_by_blocks_and_on_odd_rows(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 6)) * 0.4
+    x[::40] = x[0]  # copies are pairs too
+    rows = [(i // 2, i % 3, v.tolist()) for i, v in enumerate(x)]  # each key twice
+    # lengths of their own, cells far out, and rows that are in no pair
+    rows += [(900, 0, [0.1]), (901, 0, [0.2]), (902, 0, []), (903, 0, []), (904, 0, [3e200] * 6), (905, 0, [3e200] * 6), (906, 0, [1.0, 2.0]), (907, 0, [1.0, 2.5])]
+    rows += [(910, 1, None), (911, 1, [None] * 6), (912, 1, [float("nan")] * 6), (913, 1, [float("inf")] * 6), (914, None, x[0].tolist()), (None, 0, x[0].tolist())]
+    bad = lambda v: v is None or any(c is None or not np.isfinite(c) for c in v)
+    good = [(k, g, np.array(v, float)) for k, g, v in rows if k is not None and g is not None and not bad(v)]
+    df = spark.createDataFrame(rows, "id long, g int, v array<double>").repartition(3)
+    for radius in (0.0, 0.8):
+        want = sorted((g, a, b) for a, g, u in good for b, h, v in good if g == h and a < b and len(u) == len(v) and np.sqrt(((u - v) ** 2).sum()) <= radius)
+        for block in (16, 4096):
+            got = ensembles.pairs_within(df, "g", "id", "v", radius, block=block).collect()
+            assert sorted((r["g"], r["i"], r["j"]) for r in got) == want and len(want) > 10
+    named = df.select(F.concat(F.lit("k"), "id").alias("id"), "g", F.col("v").cast("array<float>").alias("v")).where("id < 'k2'")
+    assert ensembles.pairs_within(named, "g", "id", "v", 0.8, block=16).where("i < j AND distance <= 0.8").count() > 10
+    assert ensembles.pairs_within(df.where("false"), "g", "id", "v", 0.8).count() == 0
+
+
 def test_bfs_equals_brute_force(spark):
     rng = random.Random(4)
     edges = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(110)]
