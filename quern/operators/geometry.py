@@ -12,11 +12,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.functions import geometry as G
 from quern.operators.ensembles import KT, weighted_stats
 
 
+def fits(coords: list | None, z: list | None) -> bool:
+    """Whether a row is a molecule: coordinates, three an atom, without nulls."""
+    return bool(coords and z and len(coords) == 3 * len(z) and None not in coords and None not in z)
+
+
 def per_molecule(df: DataFrame, key: str, kernel: Callable[[np.ndarray, np.ndarray], list[float]], names: list[str]) -> DataFrame:
     """key and the named doubles that ``kernel(xyz, z)`` gives."""
 
@@ -24,8 +30,7 @@ def per_molecule(df: DataFrame, key: str, kernel: Callable[[np.ndarray, np.ndarr
         for b in batches:
             rows = []
             for coords, z in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                fits = coords and z and len(coords) == 3 * len(z) and None not in coords and None not in z
-                rows.append(list(map(float, kernel(np.array(coords, np.float64).reshape(-1, 3), np.array(z)))) if fits else [None] * len(names))
+                rows.append(list(map(float, kernel(np.array(coords, np.float64).reshape(-1, 3), np.array(z)))) if fits(coords, z) else [None] * len(names))
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.float64()) for c in (zip(*rows, strict=True) if rows else [[]] * len(names))]], names=[key, *names])
 
     cols = df.select(F.col(key), F.col("coords").cast("array<double>"), F.col("z").cast("array<int>"))
@@ -68,6 +73,45 @@ def spherical_maps(df: DataFrame, key: str, centre: int = 0, **shape) -> DataFra
     return cells.select(key, F.array(*[f"c{i}" for i in range(n)]).alias("map"))
 
 
+def mean_maps(df: DataFrame, group: str, weight: str, centre: int = 0, **shape) -> DataFrame:
+    """group, cell, distance: the spherical maps of a group's molecules averaged by ``weight``, cell by cell.
+
+    A task adds up its molecules' maps by group, so that what is shuffled are sums and not maps. A molecule without a map
+    counts by its weight alone, one without weight not at all; a group of none that counts has nulls.
+    """
+    n = shape.get("n_theta", 10) * shape.get("n_phi", 20)
+
+    def rows(sums: dict) -> pa.RecordBatch:
+        names = pa.array(list(sums), kind)
+        weights = pa.array([w if any_weight else None for w, any_weight, *_ in sums.values()], pa.float64())
+        maps = pa.array([m.tolist() if any_map else None for *_, m, any_map in sums.values()], pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([names, weights, maps], names=["g", "w", "m"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for b in batches:
+            for g, w, coords, z in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if g not in sums and len(sums) >= 1024:
+                    yield rows(sums)
+                    sums = {}
+                s = sums.setdefault(g, [0.0, False, np.zeros(n), False])
+                if w is None:
+                    continue
+                s[0], s[1] = s[0] + w, True
+                if fits(coords, z):
+                    x, z = np.array(coords, np.float64).reshape(-1, 3), np.array(z)
+                    s[2] += w * G.spherical_map(x, G.radii(z), centre, **shape).ravel()
+                    s[3] = True
+        if sums:
+            yield rows(sums)
+
+    cols = df.select(F.col(group).alias("g"), F.col(weight).cast("double").alias("w"), F.col("coords").cast("array<double>"), F.col("z").cast("array<int>"))
+    kind = to_arrow_type(cols.schema["g"].dataType)
+    parts = cols.mapInArrow(run, f"g {cols.schema['g'].dataType.simpleString()}, w double, m array<double>")
+    cells = parts.select("g", "w", "m", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("cell"))
+    return cells.groupBy(F.col("g").alias(group), "cell").agg((F.sum(F.get("m", "cell")) / F.sum("w")).alias("distance"))
+
+
 def face_features(df: DataFrame, key: str, plane: tuple[int, int, int] = (0, 1, 2), centre: int = 0, size: int = 10, extent: float = 5.0) -> DataFrame:
     """24 features of the maps above and below a plane: the profile of each, and four that compare them."""
 

@@ -94,9 +94,8 @@ w AS (SELECT label, k, d, exp(-energy / 0.5922) AS w FROM m)
 SELECT label, k AS cell, round(sum(w * d) / sum(w), 5) AS distance FROM w GROUP BY ALL""")
 def spherical_ensembles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spherical maps of all molecules of a label, averaged with Boltzmann weights cell by cell."""
-    m = molecules(spark, sf_dir)
-    maps = O.spherical_maps(m, "vec_id").join(m.select("vec_id", "label", F.exp(-F.col("energy") / 0.5922).alias("w")), "vec_id")
-    cells = maps.select("label", "w", F.posexplode("map").alias("cell", "d")).groupBy("label", "cell").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("distance"))
+    m = molecules(spark, sf_dir).withColumn("w", F.exp(-F.col("energy") / 0.5922))
+    cells = O.mean_maps(m, "label", "w")
     return cells.select("label", F.col("cell").cast("long").alias("cell"), F.round("distance", 5).alias("distance"))
 
 

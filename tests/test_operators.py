@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from quern.functions import chem, geometry, labels, parse, vectors
 from quern.operators import audit, ensembles, graphs, order, protocol, relational
 from quern.operators import geometry as molecules
+from quern.plans import molecules as plans
 from quern.sources import scratch, tables
 from quern.streaming import incremental
 
+DATA = "/root/testdata/sf0.001"
+
 
 @pytest.mark.parametrize(
     ("text", "number"), [("-78", -78.0), ("-78 - 20", -29.0), ("10; 20", 10.0), ("Ca. 5", 5.0), ("ca. 10 - 20", None), ("10 - 20 approx", 15.0), ("", None), (None, None), ("5d", None), ("x", None)]
@@ -171,6 +174,25 @@ def test_pairs_within_by_blocks_and_on_odd_rows(spark):
     assert ensembles.pairs_within(df.where("false"), "g", "id", "v", 0.8).count() == 0
 
 
+def test_mean_maps_are_summed_in_the_tasks(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 3, float(rng.uniform(0.1, 1)), rng.normal(size=15).tolist(), [6, 8, 7, 1, 16]) for i in range(40)]
+    rows += [(50, 0, 0.5, None, [6]), (51, 1, None, rows[0][3], rows[0][4]), (52, 4, 0.5, None, [6]), (53, 5, None, rows[0][3], rows[0][4]), (54, None, 0.5, rows[1][3], rows[1][4])]
+    df = spark.createDataFrame(rows, "id long, g int, w double, coords array<double>, z array<int>").repartition(4)
+    mean = molecules.mean_maps(df, "g", "w")
+    got = {(r["g"], r["cell"]): r["distance"] for r in mean.collect()}
+    assert len(got) == 200 * 6
+    for g in (0, 1, 2, None):
+        of = [r for r in rows if r[1] == g and r[2] is not None]
+        maps = [r[2] * geometry.spherical_map(np.array(r[3]).reshape(-1, 3), geometry.radii(np.array(r[4])), 0).ravel() for r in of if r[3]]
+        assert np.allclose([got[g, c] for c in range(200)], sum(maps) / sum(r[2] for r in of))
+    assert all(got[g, c] is None for g in (4, 5) for c in range(200))
+    many = df.where("id < 40").crossJoin(spark.range(60).withColumnRenamed("id", "n")).select((F.col("id") + 40 * F.col("n")).alias("g"), "w", "coords", "z").coalesce(1)
+    assert molecules.mean_maps(many, "g", "w").where("distance IS NOT NULL").count() == 200 * 2400
+    # no join, so that no table that grows is sent through the driver
+    assert "Join" not in plans.spherical_ensembles(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_bfs_equals_brute_force(spark):
     rng = random.Random(4)
     edges = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(110)]
