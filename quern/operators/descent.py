@@ -26,14 +26,45 @@ Kernel = Callable[[Weights, dict[str, np.ndarray]], Weights]
 
 #: Rows of a block, in expectation, and the quantum of a sum's mean.
 PER_BLOCK, QUANTUM = 256, 2.0**-50
+#: Blocks of vectors that are written, and so read, together.
+GROUP = 16
 
 
 def vector_blocks(df: DataFrame, key: str, vector: str, per_block: int = PER_BLOCK) -> DataFrame:
-    """block, rows, key array, x: vectors of one length, end to end, in order of the key. Null vectors are left out."""
+    """block, rows, key array, x: vectors of one length, end to end, in order of the key. Null vectors are left out.
+
+    Rows are sorted by block and packed as they come, so that a task holds one block. A reader decodes a row group at once,
+    whose size on disk says little of vectors of few values; a group therefore has ``GROUP`` blocks at most.
+    """
     rows = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("x"))
     block = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-rows.count() // per_block)))).alias("block")
-    packed = rows.groupBy(block).agg(F.array_sort(F.collect_list(F.struct("key", "x"))).alias("r"))
-    return save(packed.select("block", F.size("r").cast("long").alias("rows"), F.col("r.key").alias("key"), F.flatten("r.x").alias("x")), "blocks")
+    by = ("block", "key", "x")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for b in batches:
+            names = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                if names[lo] != at:
+                    yield from _block(held)
+                    at, held = names[lo], []
+                held.append(b.slice(lo, hi - lo))
+        yield from _block(held)
+
+    packed = rows.select(block, "key", "x").repartition("block").sortWithinPartitions(*by).mapInArrow(run, "block bigint, rows bigint, key array<bigint>, x array<double>")
+    return save(packed, "blocks", **{"parquet.block.row.count.limit": GROUP})
+
+
+def _block(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The block of rows (block, key, x), none of no rows."""
+    if held:
+        t = pa.Table.from_batches(held).combine_chunks()
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        key, x = t["key"].combine_chunks(), t["x"].combine_chunks().flatten()
+        yield pa.RecordBatch.from_arrays([t["block"].combine_chunks().slice(0, 1), pa.array([len(t)]), one(key), one(x)], names=["block", "rows", "key", "x"])
 
 
 def arrays(batch: pa.RecordBatch) -> Iterator[dict[str, np.ndarray]]:

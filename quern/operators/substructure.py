@@ -7,6 +7,11 @@ matched by joins over the table of all edges.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,11 +65,25 @@ def compressed(df: DataFrame, key: str, vector: str, width: int, k: int = 16) ->
     rows = save(df.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias("v")), "vectors")
     blocks = vector_blocks(rows.where(F.exists("v", lambda x: x != 0)), key, "v")
     mean, parts, variances = principal(blocks, width, k)
-    # few numbers: k columns of the width
-    kept = [(parts[:, i].tolist() if variances[i] > 1e-12 else None) for i in range(parts.shape[1])] + [None] * (k - parts.shape[1])
-    centred = F.transform("v", lambda x, i: x - F.get(F.lit(mean.tolist()), i))
-    along = lambda p: F.aggregate(F.zip_with("c", F.lit(p), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return rows.withColumn("c", centred).select(key, F.array(*[F.lit(0.0) if p is None else F.coalesce(along(p), F.lit(0.0)) for p in kept]).alias("components"))
+    # few numbers: k columns of the width, broadcast
+    full = np.zeros((width, k))
+    full[:, : parts.shape[1]] = parts * (variances > 1e-12)
+    shared = df.sparkSession.sparkContext.broadcast((mean, full))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mean, full = shared.value
+        for b in batches:
+            for at in range(0, len(b), 1024):
+                name, v = b.column(0).slice(at, 1024), b.column(1).slice(at, 1024)
+                out = np.zeros((len(v), k))
+                there = pc.equal(pc.list_value_length(v), width).fill_null(False)
+                x = v.filter(there).flatten()
+                y = (x.to_numpy(zero_copy_only=False).reshape(-1, width) - mean) @ full
+                y[x.is_null().to_numpy(zero_copy_only=False).reshape(-1, width).any(1)] = 0
+                out[there.to_numpy(zero_copy_only=False)] = y
+                yield pa.RecordBatch.from_arrays([name, pa.array(list(out), pa.list_(pa.float64()))], names=[key, "components"])
+
+    return rows.mapInArrow(run, f"`{key}` bigint, components array<double>")
 
 
 def scaffold(packed: DataFrame) -> DataFrame:

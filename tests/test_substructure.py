@@ -2,8 +2,10 @@ import hashlib
 import itertools
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from quern.operators import descent
 from quern.operators import substructure as S
 
 
@@ -73,6 +75,25 @@ def test_difference_and_its_components(spark):
     assert S.compressed(d.where("k = 2"), "k", "d", 5).first()["components"] == [0.0] * 16
 
 
+def test_vectors_are_packed_and_read_few_blocks_at_a_time(spark):
+    rng = np.random.default_rng(6)
+    x = rng.integers(-1, 2, (300, 512))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(300, None)], "k long, v array<int>").repartition(3)
+    # vectors of three values are small on disk, where hundreds of blocks fit one row group
+    blocks = descent.vector_blocks(df.where("k < 301"), "k", "v", per_block=2)
+    files = [pq.ParquetFile(f.removeprefix("file://")) for f in blocks.inputFiles()]
+    groups = [f.metadata.row_group(g).num_rows for f in files for g in range(f.metadata.num_row_groups)]
+    assert max(groups) <= descent.GROUP and sum(groups) == blocks.count() > 100
+    held = blocks.collect()
+    assert sorted(k for b in held for k in b["key"]) == list(range(300)) and len({b["block"] for b in held}) == len(held)
+    for b in held:
+        assert b["rows"] == len(b["key"]) and b["key"] == sorted(b["key"]) and np.array_equal(np.reshape(b["x"], (-1, 512)), x[b["key"]])
+    got = {r["k"]: r["components"] for r in S.compressed(df.where("k < 301"), "k", "v", 512, 4).collect()}
+    mean, parts, _ = descent.principal(descent.vector_blocks(df.where("k < 300"), "k", "v"), 512, 4)
+    assert len(got) == 301 and got[300] == [0.0] * 4 and np.allclose([got[k] for k in range(300)], (x - mean) @ parts)
+
+
+
 def test_scaffolds_equal_brute_force(spark):
     ring = lambda k, tail: (["a"] * (k + tail), {(i, (i + 1) % k) for i in range(k)} | {(i, i + 1) for i in range(k - 1, k + tail - 1)})
     linked = (["a"] * 8, {(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 5), (5, 6), (6, 4), (3, 7)})
