@@ -34,7 +34,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingle sets at a resemblance of 0.8 or more make a group; its row with the smallest doc_id stays."""
+    """Five-word shingle sets at a resemblance of 0.8 or more make a group; its row with the smallest doc_id stays.
+
+    SimHash links and keys of minima give the candidates, the exact sets decide.
+    """
     return simhash.keep_one(docs)
 
 

@@ -7,8 +7,9 @@ fingerprints are compared in one numpy pass that returns a spanning forest of th
 the pairs. A key of two or three fingerprints names its members by its aggregates alone, and their at
 most three pairs are checked once, however many keys share them. A key with more than ``CHUNK``
 distinct fingerprints is dealt into chunks by hash and compared chunk against chunk, so that no task
-holds a hot key. Components of the forests' edges are the groups. The pipeline's near copies
-(``near_groups``) go the same way with keys of minima, and are decided on the exact shingle sets.
+holds a hot key. Components of the forests' edges are the groups. For the pipeline's near copies
+(``near_groups``) the components of the fingerprints of shingle sets are candidates, with keys of minima for
+those that the fingerprints are too coarse for; all are decided on the exact shingle sets.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero, linked like any
 other; fewer words than a shingle form one shingle; rows with equal texts share a group; a group is
@@ -275,12 +276,23 @@ def alike(sets: list[np.ndarray], left: int | None, similarity: float) -> list[t
     return out
 
 
+def simhash_keys(prints: DataFrame, most: int = 3, blocks: int = 5) -> DataFrame:
+    """(key, id) of the sets (id, fp): sets whose 64-bit fingerprints link at ``most`` or fewer differing bits, without loss, share a key."""
+    one = save(prints.select("id", "fp").distinct(), "fingerprints")
+    classes = save(one.groupBy("fp").agg(F.min("id").alias("id")), "classes")
+    roots = components(close_edges(classes, pigeonhole_keys(blocks, most), most))
+    named = one.join(classes.select("fp", F.col("id").alias("root")), "fp").select("id", "root")
+    if roots is not None:
+        named = named.join(roots.select(F.col("node").alias("root"), F.col("root").alias("__root")), "root", "left").select("id", F.coalesce("__root", "root").alias("root"))
+    return named.select(F.xxhash64(F.lit("simhash"), "root").alias("key"), "id")
+
+
 def near_edges(docs: DataFrame, prints: DataFrame, words: int, similarity: float, chunk: int = CHUNK) -> DataFrame:
-    """Edges (a, b) of set ids that connect the sets at ``similarity`` or more which share a band.
+    """Edges (a, b) of set ids that connect the sets at ``similarity`` or more whose fingerprints link or which share a band.
 
-    ``prints``: doc_id, id, keys. Keys with the same members count once; the shingle sets are made again, for members of shared keys alone.
+    ``prints``: doc_id, id, keys, fp. Keys with the same members count once; the shingle sets are made again, for members of shared keys alone.
     """
-    rows = save(prints.select(F.explode("keys").alias("key"), "id").distinct(), "keys")
+    rows = save(prints.select(F.explode("keys").alias("key"), "id").union(simhash_keys(prints)).distinct(), "keys")
     members = (F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor("id").alias("x"))
     shared = rows.groupBy("key").agg(*members).where("n > 1").groupBy("n", "lo", "hi", "x").agg(F.min("key").alias("key"))
     shared = save(shared, "shared")
@@ -344,9 +356,9 @@ def near_edges(docs: DataFrame, prints: DataFrame, words: int, similarity: float
 def near_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, chunk: int = CHUNK) -> DataFrame:
     """doc_id, text_hash, root, component_id of the rows with a doc_id: linked at a resemblance of shingle sets of ``similarity`` or more.
 
-    Candidates share one of ``BANDS`` keys of minima of their sets; each is then checked on the exact sets
-    (64-bit hashes stand for the shingles). SimHash bits estimate the resemblance too coarsely for that: of 256
-    bits, pairs at 0.8 differ in 39 +- 6, pairs at 0.7 in 49 +- 6, and no blocks of bits that such pairs surely
+    Candidates are the sets that SimHash links (64-bit fingerprints of the sets, 3 bits at most, by blocks, as op 6
+    does) and, as those are the closest alone, all that share one of ``BANDS`` keys of minima; each is then checked on
+    the exact sets (64-bit hashes stand for the shingles). No cut of bits would do without the minima: of 256 bits, pairs at 0.8 differ in 39 +- 6, pairs at 0.7 in 49 +- 6, and no blocks of bits that such pairs surely
     share are long enough to tell other pairs apart. ``root`` is a group's own; a doc_id with several texts may
     name several groups.
     """
@@ -355,9 +367,11 @@ def near_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, chunk: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t.as_py(), words) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(map(set_id, sets), pa.int64()), pa.array(map(band_keys, sets), pa.list_(pa.int64()))], names=["doc_id", "text_hash", "id", "keys"])
+            fps = [majority(s[:, None]) for s in sets]
+            columns = [b.column(0), b.column(2), pa.array(map(set_id, sets), pa.int64()), pa.array(map(band_keys, sets), pa.list_(pa.int64())), pa.array(fps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "id", "keys", "fp"])
 
-    prints = save(docs.mapInArrow(run, "doc_id bigint, text_hash bigint, id bigint, keys array<bigint>"), "sets")
+    prints = save(docs.mapInArrow(run, "doc_id bigint, text_hash bigint, id bigint, keys array<bigint>, fp binary"), "sets")
     roots = components(near_edges(docs, prints, words, similarity, chunk))
     named = prints.select("doc_id", "text_hash", "id")
     if roots is None:

@@ -243,6 +243,32 @@ def test_simhash_components(spark):
     assert simhash.keep_one(df).count() < len(texts)
 
 
+def test_near_copies_are_linked_by_simhash_and_checked_on_the_sets(spark):
+    rng = random.Random(5)
+    texts = ["", "one", "two words"]
+    for n in (60, 300, 900):
+        for _ in range(10):
+            base = [f"w{rng.randint(0, 9999)}" for _ in range(n)]
+            texts.append(" ".join(base))
+            for k in (1, 2):
+                texts.append(" ".join([*base[:-k], *(f"x{rng.randint(0, 9999)}" for _ in range(k))]))
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    ids, fps = [simhash.set_id(s) for s in sets], [simhash.majority(s[:, None]) for s in sets]
+    bits = [int.from_bytes(f, "little") for f in fps]
+    alike = lambda a, b: len(both := set(a) & set(b)) >= 0.8 * len(set(a) | set(b)) and both
+    want = {(ids[i], ids[j]) for i in range(len(texts)) for j in range(i) if (bits[i] ^ bits[j]).bit_count() <= 3 and alike(sets[i], sets[j])}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # no minima: the fingerprints alone name the candidates
+    prints = spark.createDataFrame([(i, n, [], bytearray(f)) for i, (n, f) in enumerate(zip(ids, fps, strict=True))], "doc_id long, id long, keys array<bigint>, fp binary")
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash.near_edges(docs, prints, 5, 0.8)).collect()}
+    assert len(want) > 20 and all(roots[a] == roots[b] for a, b in want)
+    of = dict(zip(ids, sets, strict=True))
+    assert all(alike(of[r["a"]], of[r["b"]]) for r in simhash.near_edges(docs, prints, 5, 0.8).collect())
+    # fingerprints that link and sets that don't resemble each other
+    false = spark.createDataFrame([(i, n, [], bytes(8)) for i, n in enumerate(ids[:13:3])], "doc_id long, id long, keys array<bigint>, fp binary")
+    assert simhash.near_edges(docs, false, 5, 0.8).count() == 0
+
+
 def test_near_groups_equal_brute_force(spark):
     rng = random.Random(11)
     texts = ["", None, "one two"]
