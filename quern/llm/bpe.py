@@ -30,6 +30,8 @@ PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 NONE = np.iinfo(np.int32).max
 #: Chunks longer than this are not cached.
 LONGEST_CACHED = 48
+#: Texts are encoded and given out in runs of about so many characters, so that a worker's memory doesn't follow the size of its batches.
+SLICE_CHARS = 250_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -75,6 +77,7 @@ class Codec:
     def forget(self) -> None:
         """Empty the caches, so that a worker that waits for other work holds little."""
         self.young, self.old = {}, {}
+        pa.default_memory_pool().release_unused()
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in a row, and how many each word has; words are not empty."""
@@ -197,18 +200,18 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def _slices(column: pa.ChunkedArray | pa.Array, chars: int = 1_000_000) -> Iterator[list[str]]:
-    """Texts in runs of about so many characters."""
-    run, n = [], 0
-    for x in column:
+def _slices(batch: pa.RecordBatch, column: int, chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Runs of rows of about so many characters in a column, and its texts."""
+    start, run, n = 0, [], 0
+    for x in batch.column(column):
         t = x.as_py() or ""
         run.append(t)
         n += len(t)
         if n >= chars:
-            yield run
-            run, n = [], 0
+            yield batch.slice(start, len(run)), run
+            start, run, n = start + len(run), [], 0
     if run:
-        yield run
+        yield batch.slice(start), run
 
 
 def encode(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -217,9 +220,9 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, .
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer)
-        for b in batches:
-            ids = [c.ids(e) for texts in _slices(b.column(len(keep))) for e in c.encode_batch(texts)]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(i) for i in ids], pa.string())], names=[*keep, "ids", "decoded"])
+        for b, texts in chain.from_iterable(_slices(b, len(keep)) for b in batches):
+            ids = list(map(c.ids, c.encode_batch(texts)))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(ids, pa.list_(pa.int32())), pa.array(map(c.decode, ids), pa.string())], names=[*keep, "ids", "decoded"])
         c.forget()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "ids array<int>", "decoded string"])
@@ -231,15 +234,14 @@ def encode_digests(df: DataFrame, tokenizer: str, with_ids: bool = False) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer)
-        for b in batches:
+        for b, texts in chain.from_iterable(_slices(b, 1) for b in batches):
             n, ids_sha, text_sha, ids = [], [], [], []
-            for texts in _slices(b.column(1)):
-                for e in c.encode_batch(texts):
-                    n.append(e.count(b","))
-                    ids_sha.append(hashlib.sha256(e[:-1]).hexdigest())
-                    text_sha.append(hashlib.sha256(c.decode_text(e).encode()).hexdigest())
-                    if with_ids:
-                        ids.append(np.fromstring(e[:-1], np.int32, sep=","))
+            for e in c.encode_batch(texts):
+                n.append(e.count(b","))
+                ids_sha.append(hashlib.sha256(e[:-1]).hexdigest())
+                text_sha.append(hashlib.sha256(c.decode_text(e).encode()).hexdigest())
+                if with_ids:
+                    ids.append(np.fromstring(e[:-1], np.int32, sep=","))
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             if with_ids:

@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -189,6 +190,29 @@ def test_bpe_gives_ids_and_text(spark, odd):
         assert r["n_tokens"] == len(r["ids"]) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, r["ids"])).encode()).hexdigest()
 
 
+def test_bpe_gives_out_short_runs_of_a_large_batch():
+    from tokenizers import Tokenizer
+
+    class Frame:
+        select, mapInArrow = lambda self, *_: self, lambda self, run, _: run
+
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdeé ", k=rng.randint(2, 9))) for _ in range(500)]
+    texts = [None, "", *(" ".join(rng.choices(words, k=150)) for _ in range(1500)), " ".join(rng.choices(words, k=90_000)), "end", None]
+    run = bpe.encode_digests(Frame(), TOKENIZER, with_ids=True)
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(len(texts)), "text": texts})
+    got = list(run(iter([batch.slice(0, 0), batch, batch.slice(1, 3)])))
+    # a run ends with the text that fills it
+    assert all(sum(len(texts[i] or "") for i in b["doc_id"].to_pylist()[:-1]) < 250_000 for b in got) and len(got) > 6
+    rows = pa.Table.from_batches(got).to_pylist()
+    assert [r["doc_id"] for r in rows] == [*range(len(texts)), 1, 2, 3]
+    t = Tokenizer.from_file(TOKENIZER)
+    for r in rows:
+        ids = t.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert r["ids"] == ids and r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
 def test_toxicity_learns_a_pair(spark):
     rng, rows = random.Random(2), []
     for i in range(1500):
